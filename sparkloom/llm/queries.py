@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, packing
 
-QUERIES = {"op10_decontamination": decontamination.op10_decontamination}
-ORACLES = {"op10_decontamination": decontamination.OP10_SQL}
+QUERIES = {
+    "op9_packing": packing.op9_packing,
+    "op10_decontamination": decontamination.op10_decontamination,
+}
+ORACLES = {
+    "op10_decontamination": decontamination.OP10_SQL,
+}
