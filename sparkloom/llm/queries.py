@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing
+from . import decontamination, packing, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
+    "op5_warc": warc.OP5_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }
