@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, warc
+from . import decontamination, packing, quality, warc
 
 QUERIES = {
     "op5_warc": warc.op5_warc,
+    "op6_quality": quality.op6_quality,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontamination.op10_decontamination,
 }
