@@ -31,7 +31,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: Per worker process: tokenizer definition -> (tokenizer, chunk -> ids).
 _LOADED: dict[int, tuple] = {}
-_CACHE_CHUNKS = 400_000
+_CACHE_CHUNKS = 600_000
 
 
 class ChunkTokenizer:
@@ -42,12 +42,13 @@ class ChunkTokenizer:
     as the tokenizer itself does after lower-casing, and new letter runs are encoded in one text.
     The caches are emptied at a fixed number of entries."""
 
-    SPLIT = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?%$&*#|]*)")
+    MARKS = ".,;:!?%$&*#|"
+    LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.stems = Tokenizer.from_str(definition), {}, {}
+        self.tokenizer, self.cache, self.stems = Tokenizer.from_str(definition), {}, {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -62,38 +63,39 @@ class ChunkTokenizer:
 
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of unseen chunks into the cache."""
-        whole, parts, stems = [], {}, {}
+        whole, parts, cache, known = [], [], self.cache, self.stems
+        stems: dict[str, bytes] = {}
         for c in chunks:
-            if m := self.SPLIT.fullmatch(c):
-                stem, marks = m[1].lower(), m[2]
-                parts[c] = (stem, marks)
-                for x in (stem, marks):
-                    if x not in self.stems:
-                        stems[x] = None
+            letters = c.rstrip(self.MARKS)
+            if letters.isalpha() and (letters.isascii() or self.LATIN(letters)):
+                stem, marks = letters.lower(), c[len(letters) :]
+                if (ids := known.get(stem)) is not None and (tail := known.get(marks)) is not None:
+                    cache[c] = ids + tail
+                else:
+                    parts.append((c, stem, marks))
+                    stems[stem] = stems[marks] = b""
             else:
                 whole.append(c)
         stems.pop("", None)
         if stems:
-            ids = self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(cuts) != len(stems):
                 raise ValueError("the tokenizer does not end every word with </w>")
-            raw = np.array(ids, dtype="<u4").tobytes()
-            for x, i, j in zip(stems, [0, *cuts], cuts, strict=False):
-                self.stems[x] = raw[4 * i : 4 * j]
-        self.stems[""] = b""
-        for c, (stem, marks) in parts.items():
-            self.cache[c] = self.stems[stem] + self.stems[marks]
+            raw = ids.tobytes()
+            known.update(zip(stems, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+        for c, stem, marks in parts:
+            cache[c] = known[stem] + known[marks]
         for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.cache[c] = np.array(e.ids, dtype="<u4").tobytes()
+            cache[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 64):
-            some = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 64]]
+        for at in range(0, len(texts), 256):
+            some = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 256]]
             missing = set().union(*some).difference(self.cache)
             if missing:
                 if len(self.cache) + len(missing) > _CACHE_CHUNKS or len(self.stems) > _CACHE_CHUNKS:
-                    self.cache, self.stems = {}, {}
+                    self.cache, self.stems = {}, {"": b""}
                     missing = set().union(*some)
                 self.learn(missing)
             for chunks in some:
