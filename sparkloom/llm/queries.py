@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, warc
+from . import decontamination, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op9_packing": packing.op9_packing,
