@@ -49,7 +49,7 @@ def places_of(text: str | None) -> np.ndarray:
     """Sorted distinct feature places of a text."""
     out: set[int] = set()
     if text:
-        if len(_PLACES) > 500_000:
+        if len(_PLACES) > 200_000:
             _PLACES.clear()
         for w in set(WORD(text.lower())):
             p = _PLACES.get(w)
@@ -131,26 +131,34 @@ def sketch_of(text: str, k: int = 8) -> list[int]:
     return sorted({zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 4))})[:k]
 
 
-def first_of_copies(rows: list[tuple[list[int], list[int]]]) -> list[np.ndarray]:
-    """The features of (features, sketch) rows, without rows half of whose sketch was seen before."""
+def first_of_copies(rows: list[tuple[int, np.ndarray, list[int]]]) -> list[np.ndarray]:
+    """The features of (place, features, sketch) rows, without rows half of whose sketch was seen before."""
     out, seen = [], set()
-    for places, sketch in rows:
+    for _, places, sketch in rows:
         if 2 * sum(h in seen for h in sketch) <= len(sketch):
-            out.append(np.array(places, dtype=np.int64))
+            out.append(places)
         seen.update(sketch)
     return out
 
 
-def draw(df: DataFrame, n: int) -> list[np.ndarray]:
-    """Features of at most n texts, those with the smallest hash of the id, one of a group of copies; made on the executors."""
-    ddl = "places array<long>, sketch array<long>"
+def lowest(ids: DataFrame, n: int) -> DataFrame:
+    """At most n ids, those with the smallest hash."""
+    return ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
+def draw(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
+    """Features of the texts of at most n ids, one of a group of copies; made on the executors.
+
+    The ids, bounded by n, are broadcast, so that the texts are filtered where they are read."""
+    ddl = "place long, places array<int>, sketch array<long>"
 
     def featurize(batches):
         for b in batches:
-            yield arrow_batch(ddl, [(places_of(t).tolist(), sketch_of(t)) for t in b.column(0).to_pylist()])
+            yield arrow_batch(ddl, [(p, places_of(t).tolist(), sketch_of(t)) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
 
-    picked = df.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(n).select("text")
-    return first_of_copies([tuple(r) for r in picked.mapInArrow(featurize, ddl).toLocalIterator()])
+    picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("place"), "text")
+    rows = picked.mapInArrow(featurize, ddl).limit(2 * n).toLocalIterator()
+    return first_of_copies(sorted(((r[0], np.array(r[1], dtype=np.int32), r[2]) for r in rows), key=lambda r: (r[0], len(r[1]))))
 
 
 def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 12_000, **params) -> tuple[np.ndarray, float] | None:
@@ -162,8 +170,8 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabell
         return None
     prior = min(max(n_toxic / n, 1e-4), 0.9)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
-    p = draw(docs.join(keep.where("toxic = 1"), "doc_id", "left_semi"), positives)
-    u = draw(docs.where(~is_held_out(F.col("doc_id"))), unlabelled)
+    p = draw(docs, lowest(keep.where("toxic = 1"), positives), positives)
+    u = draw(docs, lowest(docs.where(~is_held_out(F.col("doc_id"))), unlabelled), unlabelled)
     if not p:
         return None
     return train_nnpu(p, u, prior, **params)
