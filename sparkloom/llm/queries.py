@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, packing, quality, toxicity, warc
+from . import decontamination, jaccard, langid, packing, quality, toxicity, warc
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op7_language_id": langid.op7_language_id,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_packing": packing.op9_packing,
     "op10_decontamination": decontamination.op10_decontamination,
 }
