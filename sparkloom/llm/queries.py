@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, langid, packing, quality, toxicity, warc
+from . import decontamination, html_text, jaccard, langid, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
