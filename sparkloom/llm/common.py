@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The white space between words, as in [\x20\x09-\x0D].
+BLANKS = " \t\n\x0b\x0c\r"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: bytes.translate table: A-Z to a-z, every other byte unchanged.

@@ -25,9 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BLANKS, materialise
 
-BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 RATES = {"word_length": 0.8, "symbol_rate": 0.1, "line_repeat": 0.35, "window_repeat": 0.35}  # rate: least slack
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, jaccard, langid, packing, quality, toxicity, warc
+from . import decontamination, html_text, jaccard, langid, packing, quality, rollups, toxicity, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_token_rollups": rollups.op4_token_rollups,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op7_language_id": langid.op7_language_id,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES = {
+    "op4_token_rollups": rollups.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
 }
