@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, jaccard, langid, packing, quality, rollups, toxicity, warc
+from . import brown, decontamination, html_text, jaccard, langid, packing, quality, rollups, toxicity, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
+    "op2_brown_scores": brown.op2_brown_scores,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_rollups": rollups.op4_token_rollups,
     "op5_warc": warc.op5_warc,
