@@ -4,8 +4,10 @@ A document's tokens are the 64-bit hashes of its distinct 5-word shingles. Docum
 sets are one set from the start. Two sets x, y link when |x & y| / |x | y| >= t. A set then keeps
 at least ceil(t |x|) of its tokens in any partner, so at most tau = |x| - ceil(t |x|) are missing.
 
-1. Under the order by hash, every linked pair shares a token of the first tau + 1 of both. Only
-   sets that share such a token with another one (`sharing`) go on; all others are alone.
+1. At most tau of a linked set's tokens are held by no other set, so of any part of its tokens, all
+   but tau are shared. The part is those whose hash lies in the lowest `sampled` share of all
+   hashes, the same for every set; sets of which too few of these are shared (`shared_counts`) are
+   alone, which holds for nearly all unrelated texts, however many chance shingles they share.
 2. Among those, tokens' document frequencies are counted, and all further work uses the order by
    (frequency, hash). Tokens of frequency 1 only count; sets with more than tau of them are alone.
 3. Signatures (`signatures`): tokens up to frequency `rare` are signatures by themselves. More
@@ -17,10 +19,10 @@ at least ceil(t |x|) of its tokens in any partner, so at most tau = |x| - ceil(t
    sets of a pair; it depends on the band floor(log(|x|) / log(1/t)), and as linked sets lie in
    the same band or in neighbouring ones, each set emits for its own band and the next.
 4. Candidates are verified by exact intersection. Groups of very many near copies share their
-   signatures, so pairs within a signature are not enumerated: in each round, every set is
-   compared to a few pivots of its signatures, links are contracted into components, and
-   signatures whose sets are all in one component are done. What remains between different
-   components of a signature is compared in full in the end. So no link between components is
+   signatures, so pairs within a signature are not enumerated: every set is first compared to the
+   pivot of each of its signatures, links are contracted into components, and signatures whose sets
+   are all in one component are done. Of signatures held by the same sets one is looked at. Sets of
+   what remains are compared block by block (`settle`), which lists only links that join components. So no link between components is
    missed, and no pair cap exists.
 
 Token counting works on blocks of packed hashes dealt by token, and counts distinct sets per token
@@ -48,12 +50,14 @@ from pyspark.sql import functions as F
 from .common import arrow_batch, materialise
 from .components import components
 
-#: bytes.translate table: A-Z lower-cased, \t\v\f\r\n turned into blanks.
-WORD_BYTES = bytes(0x20 if 9 <= c <= 13 else c for c in bytes(range(256)).lower())
-_WORDS: dict[bytes, int] = {}
+#: A random 64-bit value for every byte, the same for A-Z as for a-z; which bytes part words.
+_BYTES = np.random.default_rng(21).integers(1, 2**63, size=256, dtype=np.uint64)[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+_BASE = 0x2545F4914F6CDD1D
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS: list[np.ndarray] = []
 
-SETS = "doc_id long, n_shingles long, set_id long"
+SETS = "doc_id long, n_shingles long, n_low long, set_id long"
 BLOCKS = "bucket int, sets binary, sizes binary, counts binary, tokens binary"
 
 
@@ -68,23 +72,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of _BASE and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 16, 1 << n.bit_length())
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word, in text order: a polynomial of its bytes' random values, from prefix sums."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8) if text else np.zeros(0, np.uint8)
+    blank = np.concatenate(([True], _BLANK[raw], [True]))
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * up[: len(raw)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start])
+
+
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles."""
-    import xxhash
-
-    words = text.encode("utf-8", "replace").translate(WORD_BYTES).split(b" ") if text else []
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([_WORDS[w] for w in words if w], dtype=np.uint64)
+    h = word_hashes(text)
     if not len(h):
         return h
     size = min(n, len(h))
-    out = np.zeros(len(h) - size + 1, dtype=np.uint64)
+    out = np.full(len(h) - size + 1, size, dtype=np.uint64)
     for k in range(size):
         out += h[k : len(h) - size + 1 + k] * _MULTIPLIERS[k]
-    return np.unique(mix(out + np.uint64(size)))
+    return np.unique(mix(out))
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -98,15 +117,20 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def sets_of(documents: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and set_id (null for an empty set) of every row."""
+def low_part(tokens: np.ndarray, share: float) -> np.ndarray:
+    """The sorted tokens in the lowest share of all hashes."""
+    return tokens[: np.searchsorted(tokens, np.uint64(int(share * 2**64)))]
+
+
+def sets_of(documents: DataFrame, n: int, sampled: float) -> DataFrame:
+    """doc_id, n_shingles, how many of them are in the sampled part, and set_id (null for an empty set) of every row."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py(), n)
-                rows.append((doc_id, len(s), set_id(s) if len(s) else None))
+                rows.append((doc_id, len(s), len(low_part(s, sampled)), set_id(s) if len(s) else None))
             yield arrow_batch(SETS, rows)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
@@ -145,7 +169,7 @@ def pack(part: list[tuple[int, int, np.ndarray]], buckets: int):
     keys, sizes = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int32)
     owner, tokens = np.repeat(np.arange(len(part)), [len(p[2]) for p in part]), np.concatenate([p[2] for p in part])
     bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((owner, bucket))
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
     bucket, owner, tokens = bucket[order], owner[order], tokens[order]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = []
@@ -174,10 +198,10 @@ def shared(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return tokens[keep], keys[keep], sizes[keep], df[keep]
 
 
-def sharing(table):
-    """The sets of a bucket that share a token with another set."""
+def shared_counts(table):
+    """How many of each set's tokens in the bucket another set holds, where any."""
     _, keys, _, _ = shared(table)
-    return arrow_table("set_id long", [(k,) for k in np.unique(keys).tolist()])
+    return arrow_table("set_id long, n_shared long", list(zip(*(x.tolist() for x in np.unique(keys, return_counts=True)), strict=True)))
 
 
 def arrow_table(ddl: str, rows: list[tuple]):
@@ -293,11 +317,8 @@ def candidates(merged: DataFrame, percent: int, rare: int) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with linked: whether the sets reach the similarity."""
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     side = lambda k: sets.select(F.col("set_id").alias(k), F.col("n").alias("n" + k), F.col("tokens").alias("t" + k))
-    sizes = lambda k: sets.select(F.col("set_id").alias(k), F.col("n").alias("n" + k))
-    near = pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fits).select("a", "b")
-    joined = near.join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
     ddl = "a long, b long, linked boolean"
 
     def run(batches):
@@ -315,29 +336,115 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, ddl).where("linked").select("a", "b")
 
 
-def linked_sets(sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """set_id and root for sets that link with another one."""
-    spread = materialise(sets.select("set_id", F.explode("sigs").alias("sig")), "jaccard-signatures")
-    busy = spread.groupBy("sig").count().where("count > 1").select("sig")
-    spread = materialise(spread.join(busy, "sig"), "jaccard-signatures")
-    total, label = spread.count(), None
+def can_reach(percent: int, nx, sx, ny, sy):
+    """Whether sets of nx and ny tokens, of which sx and sy are shared with any set at all, may reach the similarity."""
+    return (100 + percent) * F.least(sx, sy) >= percent * (nx + ny)
+
+
+def with_partners(spread: DataFrame, percent: int) -> DataFrame:
+    """spread without rows that can't reach even the smallest set of their signature, and without lone rows."""
+    least = spread.groupBy("sig").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sig", "least")
+    return spread.join(least, "sig").where((100 + percent) * F.col("s") >= percent * (F.col("n") + F.col("least"))).drop("least")
+
+
+LINKS = "a long, b long"
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """(len(a), len(b)) sizes of the intersections of sorted distinct token arrays, by products of 0/1 matrices."""
+    every = [*a, *b]
+    tokens, owner = np.concatenate(every), np.repeat(np.arange(len(every)), [len(x) for x in every])
+    _, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[place]
+    place, owner = (np.cumsum(shared) - 1)[place[keep]], owner[keep]
+    order = np.argsort(place, kind="stable")
+    place, owner, out = place[order], owner[order], np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(place, [low, low + width])
+        part = np.zeros((len(every), width), np.float32)
+        part[owner[i:j], place[i:j] - low] = 1
+        out += part[: len(a)] @ part[len(a) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def links_of_block(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between different components among rows (block, set_id, comp, n, tokens): within the one
+    block there is, or between two. Only links that join what was apart in these rows are listed."""
+    first = min(r[0] for r in rows)
+    a = [r for r in rows if r[0] == first]
+    b = [r for r in rows if r[0] != first] or a
+    na, nb = (np.array([r[3] for r in x]) for x in (a, b))
+    common = intersections(*([np.frombuffer(r[4], np.uint64) for r in x] for x in (a, b)))
+    linked = (100 + percent) * common >= percent * (na[:, None] + nb[None, :])
+    linked &= np.array([r[2] for r in a])[:, None] != np.array([r[2] for r in b])[None, :]
+    up: dict[int, int] = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = find(a[i][2]), find(b[j][2])
+        if x != y:
+            up[x] = y
+            out.append((a[i][1], b[j][1]))
+    return out
+
+
+def settle(now: DataFrame, sets: DataFrame, percent: int, block_sets: int = 256) -> DataFrame:
+    """Links between all sets of different components that share an unsettled signature.
+
+    The sets that hang together by signatures are a cluster. Small clusters share tasks; a larger
+    one is dealt into blocks, and every pair of blocks is compared in a task of its own."""
+    spark = sets.sparkSession
+    heads = now.groupBy("sig").agg(F.min("set_id").alias("b"))
+    cluster = components(now.join(heads, "sig").select(F.col("set_id").alias("a"), "b"), "jaccard-clusters").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
+    sizes = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("int").alias("blocks"))
+    groups = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = now.select("set_id", "comp").distinct().join(cluster, "set_id").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets.select("set_id", "n", "tokens"), "set_id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = dealt.select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster")).alias("g"),
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cluster", "block", "set_id", "comp", "n", "tokens",
+    )
+
+    def compare(table):
+        from itertools import groupby
+
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cluster", "block", "set_id", "comp", "n", "tokens")), strict=True), key=lambda r: r[0])
+        out = []
+        for _, part in groupby(rows, key=lambda r: r[0]):
+            out += links_of_block([r[1:] for r in part], percent)
+        return arrow_table(LINKS, out)
+
+    return keyed.groupBy("g", "i", "j").applyInArrow(compare, LINKS)
+
+
+def linked_sets(sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
+    """set_id and root for sets that link with another one; None if there is no candidate."""
+    spread = sets.select("set_id", "n", (F.octet_length("tokens") / 8).cast("int").alias("s"), F.explode("sigs").alias("sig"))
+    held = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("set_id") % (1 << 40)).alias("h"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("x"))
+    busy = held.where("m > 1").groupBy("m", "h", "x").agg(F.min("sig").alias("sig")).select("sig")
+    spread, label = materialise(with_partners(spread.join(busy, "sig"), percent), "jaccard-signatures"), None
     for k in range(rounds + 1):
         now = spread.withColumn("comp", F.col("set_id")) if label is None else spread.join(label, "set_id", "left").withColumn("comp", F.coalesce("root", "set_id")).drop("root")
-        per = now.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("mm"))
-        per = per.where(F.col("mm") < F.col("m") * F.col("m"))
+        per = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
         now = materialise(now.join(per, "sig"), "jaccard-open")
-        cross = now.dropDuplicates(["sig"]).agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
-        if not cross:
+        if now.isEmpty():
             break
-        last = k == rounds or cross <= 4 * total
-        if last:
-            a, b = (now.select("sig", F.col("set_id").alias(x), F.col("comp").alias("c" + x)) for x in "ab")
-            pairs = a.join(b, "sig").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if k == rounds:
+            found = settle(now, sets, percent)
         else:
-            pivots = now.groupBy("sig").agg(*(F.min_by(F.struct(F.col("set_id").alias("p"), F.col("comp").alias("cp")), F.xxhash64("set_id", F.lit(31 * k + i))).alias(f"p{i}") for i in range(1 << min(k, 3))))
-            pivots = pivots.select("sig", F.explode(F.array_distinct(F.array(*[c for c in pivots.columns if c != "sig"]))).alias("pivot"))
-            pairs = now.select("sig", "set_id", "comp").join(pivots, "sig").where("pivot.cp <> comp").select(F.least("set_id", "pivot.p").alias("a"), F.greatest("set_id", "pivot.p").alias("b"))
-        found = materialise(verify(pairs.distinct(), sets, percent), "jaccard-links")
+            central = F.struct(F.floor(-20 * F.col("s") / F.col("n")), F.xxhash64("set_id", F.lit(k)))
+            pivots = now.groupBy("sig").agg(F.min_by(F.struct(F.col("set_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb")), central).alias("p")).select("sig", "p.*")
+            pairs = now.select("sig", F.col("set_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa")).join(pivots, "sig")
+            pairs = pairs.where("ca <> cb").where(can_reach(percent, F.col("na"), F.col("sa"), F.col("nb"), F.col("sb")))
+            found = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+        found = materialise(found, "jaccard-links")
         if label is not None:
             names = lambda x: label.select(F.col("set_id").alias(x), F.col("root").alias("r" + x))
             found = found.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
@@ -346,36 +453,31 @@ def linked_sets(sets: DataFrame, percent: int, rounds: int) -> DataFrame:
             label = root.select(F.col("node").alias("set_id"), "root")
         else:
             moved = label.select("set_id", F.col("root").alias("node")).join(root, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
-            new = root.select(F.col("node").alias("set_id"), "root").join(label, "set_id", "left_anti")
-            label = moved.unionByName(new)
+            label = moved.unionByName(root.select(F.col("node").alias("set_id"), "root").join(label, "set_id", "left_anti"))
         label = materialise(label, "jaccard-labels")
-        if last:
-            break
     return label
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 75, rare: int = 24, rounds: int = 5, block_tokens: int = 4_000_000, bitmap_bits: int = 1 << 29) -> DataFrame:
+def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 75, sampled: float = 0.35, rare: int = 24, rounds: int = 1, block_tokens: int = 4_000_000, bitmap_bits: int = 1 << 29) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = documents.sparkSession
-    docs = materialise(sets_of(documents, n), "jaccard-sets")
-    reps = docs.where("set_id is not null").groupBy("set_id", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    docs = materialise(sets_of(documents, n, sampled), "jaccard-sets")
+    reps = docs.where("n_shingles > 2").groupBy("set_id", "n_shingles", "n_low").agg(F.min("doc_id").alias("rep"))
     tokens = docs.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = lambda share: int(max(48, min(4096, tokens * share // block_tokens)))
-    first = blocks(documents, n, buckets((100 - percent) / 100), lambda s: s[: len(s) - need(len(s), percent) + 1])
-    some = first.groupBy("bucket").applyInArrow(sharing, "set_id long").distinct()
-    ids = materialise(some.join(reps, "set_id").select(F.col("rep").alias("doc_id")), "jaccard-sharing")
+    low = blocks(documents, n, buckets(sampled), lambda s: low_part(s, sampled))
+    shared_by = low.groupBy("bucket").applyInArrow(shared_counts, "set_id long, n_shared long").groupBy("set_id").agg(F.sum("n_shared").alias("n_shared"))
+    tau = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100)
+    some = reps.join(shared_by, "set_id", "left").where(F.coalesce("n_shared", F.lit(0)) >= F.col("n_low") - tau)
+    ids = materialise(some.select(F.col("rep").alias("doc_id")), "jaccard-sharing")
     bitmap = spark.sparkContext.broadcast(Bitmap.of(ids, bitmap_bits))
     every = blocks(documents, n, buckets(1), lambda s: s, bitmap)
     counted = every.groupBy("bucket").applyInArrow(frequencies, FREQUENCIES)
     merged = counted.groupBy("set_id").agg(F.max("n").alias("n"), F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"))
     sets = materialise(candidates(merged, percent, rare), "jaccard-candidates")
     label = linked_sets(sets, percent, rounds)
-    out = docs
-    if label is not None:
-        out = out.join(label, "set_id", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long"))
-    keyed = out.withColumn("root", F.coalesce("root", "set_id"))
+    keyed = docs.join(label, "set_id", "left") if label is not None else docs.withColumn("root", F.lit(None).cast("long"))
+    keyed = keyed.withColumn("root", F.coalesce("root", "set_id"))
     lowest = keyed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("root", "low")
     return keyed.join(lowest, "root", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
