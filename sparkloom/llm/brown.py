@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, arrow_batch, crc_of_id, materialise
+from .common import LOWER_BYTES, arrow_batch, crc_of_id, materialise, scan
 
 ALPHA = 0.1
 COUNTS = "word binary, c long"
@@ -174,6 +174,19 @@ def unit_bigrams(texts: DataFrame, units, n_units: int, flush: int = 4_000_000)
     return texts.mapInArrow(run, ddl).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
+    """At most n words, all of at least a count that is found from a histogram of a thousand steps."""
+    step = F.floor(16 * F.log2(F.col("c").cast("double")))
+    steps, room, least = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True), n, None
+    for k, words in steps:
+        if words > room:
+            break
+        room, least = room - words, k
+    if least is None:
+        return []
+    return [(bytes(w), int(c)) for w, c in counts.where(step >= least).toLocalIterator()]
+
+
 class Model:
     """What scoring needs: classes of words, transitions and emission denominators (log10), head counts."""
 
@@ -187,13 +200,12 @@ SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score
 def train(training: DataFrame, classes: int = 48, head_units: int = 1000, pools: int = 400, head_words: int = 200_000, beta: float = 5.0) -> tuple[Model, DataFrame, int]:
     """The model, the table of word counts (word, c) and the number of training tokens."""
     sc = training.sparkSession.sparkContext
-    texts = training.select("text")
+    texts = scan(training, "doc_id", "text").select("text")
     counts = materialise(word_counts(texts), "brown-counts")
     n_docs = texts.count()
     n_words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, types = n_words + n_docs, types + (n_docs > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(head_words).toPandas()
-    head = {bytes(w): int(c) for w, c in zip(top["word"], top["c"], strict=True)}
+    head = dict(sorted(most_frequent(counts, head_words), key=lambda x: (-x[1], x[0])))
     unit_of = {w: i for i, w in enumerate(list(head)[:head_units])}
     n_units = len(unit_of) + pools + 1
     units = sc.broadcast(Classes(unit_of, list(range(len(unit_of), n_units - 1))))
@@ -254,7 +266,7 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 rows.append((row, doc_id, len(words) + 1, known, base, total, list(tail), list(tail.values())))
             yield arrow_batch(SCORED, rows)
 
-    local = materialise(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED), "brown-scores")
+    local = materialise(scan(documents, "doc_id", "text").mapInArrow(run, SCORED), "brown-scores")
     rare = local.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
     joined = rare.join(counts, "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))

@@ -46,6 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of long text in an Arrow batch at most, which bounds a Python worker's memory.
+BATCH_ROWS = 2000
+
+
+def scan(df: DataFrame, id_column: str, *columns: str) -> DataFrame:
+    """The id as long and the other columns, to be read in Arrow batches of at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.select(F.col(id_column).cast("long").alias(id_column), *columns)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch
+from .common import arrow_batch, scan
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits turned into blanks.
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
@@ -106,12 +106,12 @@ def blocks_of(benchmark: DataFrame, n: int, block_bytes: int) -> list:
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """Per document row: n_words, n_hit, n_items, items_sha256, contaminated."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = scan(documents, "doc_id", "text")
     blocks = blocks_of(benchmark, n, block_bytes)
     if len(blocks) == 1:
         index = blocks[0]
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = digest(())
             for b in batches:
                 rows = []
@@ -122,7 +122,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, block
                     rows.append((doc_id, len(words), hit, len(items), digest(items) if items else none, hit > 0))
                 yield arrow_batch(HITS, rows)
 
-        return docs.mapInArrow(scan, HITS)
+        return docs.mapInArrow(run, HITS)
 
     merged = merge_blocks([docs.mapInArrow(spans_in(index), SPANS) for index in blocks])
     return merged.select(
@@ -138,7 +138,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, block
 def spans_in(index):
     """Rows of SPANS for one block."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
@@ -150,7 +150,7 @@ def spans_in(index):
                 rows.append((doc_id, key, len(words), sorted(items), *runs(mask)))
             yield arrow_batch(SPANS, rows)
 
-    return scan
+    return run
 
 
 def merge_blocks(parts: list[DataFrame]) -> DataFrame:

@@ -37,7 +37,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, materialise
+from .common import arrow_batch, materialise, scan
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
@@ -245,7 +245,7 @@ def statistics(pages: DataFrame) -> DataFrame:
                         rows.add((host, path, 1, hash64(kids), digest))
             yield arrow_batch(STATS, list(rows))
 
-    return pages.select("url", "html").mapInArrow(run, STATS)
+    return scan(pages, "page_id", "url", "html").select("url", "html").mapInArrow(run, STATS)
 
 
 def low_branches(pages: DataFrame, least: float = 0.35, gamma: float = 0.9, min_pages: int = 4) -> DataFrame:
@@ -275,7 +275,7 @@ BLOCK_ROWS = "row long, page_id long, url string, seq int, host string, path str
 
 def extract(pages: DataFrame, broadcast_rows: int = 300_000, **params) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    source = scan(pages, "page_id", "url", "html")
     low = materialise(low_branches(pages, **params), "style-low")
     if low.count() <= broadcast_rows:
         known = pages.sparkSession.sparkContext.broadcast({hash64(h, p) for h, p in low.select("host", "path").toLocalIterator()})

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, crc_of_id
+from .common import arrow_batch, crc_of_id, scan
 
 SEGMENT = 48
 UNKNOWN = "und"
@@ -169,7 +169,7 @@ def is_held_out(c: Column) -> Column:
 
 def sample(documents: DataFrame, per_language: int, segments: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The languages, (rows, SEGMENT) bytes and class numbers of the training sample."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and text is not null and doc_id is not null")
+    docs = scan(documents, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
     docs = docs.where(~is_held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
     if not counts:
@@ -231,7 +231,7 @@ def predict(documents: DataFrame, model: tuple[list[str], BiGRU | None], rows_at
                     out[i] = (langs[int(p.argmax())], float(p.max()))
             yield arrow_batch(PREDICTED, [(doc_id, *out.get(i, (UNKNOWN, 0.0))) for i, doc_id in enumerate(ids)])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
+    return scan(documents, "doc_id", "text").mapInArrow(run, PREDICTED)
 
 
 def identify(documents: DataFrame, **params) -> DataFrame:

@@ -25,13 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch
+from .common import arrow_batch, scan
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Per worker process: tokenizer definition -> (tokenizer, chunk -> ids).
 _LOADED: dict[int, tuple] = {}
-_CACHE_CHUNKS = 600_000
+_CACHE_CHUNKS = 400_000
 
 
 class ChunkTokenizer:
@@ -189,7 +189,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, size: int =
         packer.close()
         yield arrow_batch(PIECES, packer.rows)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return scan(documents, "doc_id", "text").mapInArrow(run, PIECES)
 
 
 def default_tokenizer() -> str:

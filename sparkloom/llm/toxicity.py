@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, crc_of_id
+from .common import arrow_batch, crc_of_id, scan
 
 DIM = 1 << 18
 SCORES = "doc_id long, score double"
@@ -49,7 +49,7 @@ def places_of(text: str | None) -> np.ndarray:
     """Sorted distinct feature places of a text."""
     out: set[int] = set()
     if text:
-        if len(_PLACES) > 200_000:
+        if len(_PLACES) > 100_000:
             _PLACES.clear()
         for w in set(WORD(text.lower())):
             p = _PLACES.get(w)
@@ -169,7 +169,7 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabell
     if not n_toxic:
         return None
     prior = min(max(n_toxic / n, 1e-4), 0.9)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
+    docs = scan(documents, "doc_id", "text").where("text is not null and doc_id is not null")
     p = draw(docs, lowest(keep.where("toxic = 1"), positives), positives)
     u = draw(docs, lowest(docs.where(~is_held_out(F.col("doc_id"))), unlabelled), unlabelled)
     if not p:
@@ -179,7 +179,7 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabell
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     """doc_id and score of every row."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = scan(documents, "doc_id", "text")
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     weights = documents.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, fresh_path, materialise
+from .common import arrow_batch, fresh_path, materialise, scan
 
 SKIPPABLE = 0x184D2A5D
 VERSION = b"WARC/1.1"
@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, min_revisit
 
     Which payloads repeat is settled first. Up to broadcast_rows of them (counted; some 12 MB) go
     to the writers as a broadcast, and the html is not shuffled; more are joined by digest and salt."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    p = scan(pages, "page_id", "url", "html")
     spark = pages.sparkSession
     repeated = materialise(repeats(pages, min_revisit), "warc-repeats")
     known = spark.sparkContext.broadcast(None)
