@@ -104,7 +104,9 @@ DECLARATIONS = "file_path string, symbol_id string, top_row int, bottom_row int,
 
 
 def declarations(symbols: DataFrame) -> DataFrame:
-    """Functions and structs with the comments directly above them (Python: the docstring below), dedented."""
+    """Whole functions, and structs without their bodies, with the comments directly above them, dedented.
+
+    A Python class keeps the docstring below its declaration."""
 
     def run(key, pdf):
         import pandas as pd
@@ -114,17 +116,18 @@ def declarations(symbols: DataFrame) -> DataFrame:
         for r in rows:
             if r["kind"] not in ("function", "struct"):
                 continue
-            top, bottom, before, after = int(r["start_row"]), int(r["decl_end_row"]), [], []
+            whole = r["kind"] == "function"
+            top, bottom, before = int(r["start_row"]), int(r["end_row"] if whole else r["decl_end_row"]), []
             if r["language"] == "python":
-                doc = next((c for c in comments if c["parent_id"] == r["symbol_id"] and c["start_row"] == bottom + 1), None)
-                if doc is not None:
-                    after, bottom = doc["content"].split("\n"), int(doc["end_row"])
+                doc = None if whole else next((c for c in comments if c["parent_id"] == r["symbol_id"] and c["start_row"] == r["decl_end_row"] + 1), None)
+                own = dedent(r["content"].split("\n")) if whole else [r["declaration"], *(doc["content"].split("\n") if doc is not None else ()), "    ..."]
+                bottom = int(doc["end_row"]) if doc is not None else bottom
             else:
                 for c in reversed(comments):
                     if int(c["end_row"]) == top - 1:
                         before, top = c["content"].split("\n") + before, int(c["start_row"])
-            text = "\n".join(dedent(before) + dedent(r["declaration"].split("\n")) + [("  " + x if x else x) for x in dedent(after)])
-            out.append((r["file_path"], r["symbol_id"], top, bottom, text))
+                own = dedent(r["content"].split("\n")) if whole else [r["declaration"] + " { ... }"]
+            out.append((r["file_path"], r["symbol_id"], top, bottom, "\n".join(dedent(before) + own)))
         return pd.DataFrame(out, columns=["file_path", "symbol_id", "top_row", "bottom_row", "line"])
 
     return symbols.groupBy("file_path").applyInPandas(run, DECLARATIONS)
