@@ -209,8 +209,8 @@ def train(training: DataFrame, classes: int = 48, head_units: int = 1000, pools:
     unit_of = {w: i for i, w in enumerate(list(head)[:head_units])}
     n_units = len(unit_of) + pools + 1
     units = sc.broadcast(Classes(unit_of, list(range(len(unit_of), n_units - 1))))
-    found = unit_bigrams(texts, units, n_units).toPandas()
-    pair, n = found["pair"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+    found = unit_bigrams(texts, units, n_units).toArrow()
+    pair, n = found.column("pair").to_numpy(), found.column("n").to_numpy().astype(np.float64)
     rows, cols = pair // n_units, pair % n_units
     cls = exchange(rows, cols, n, n_units, classes, n_units - 1)
     table = np.zeros((classes + 1, classes + 1))
