@@ -82,7 +82,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     kept = raw.withColumn("path", rel).where(scanned(F.col("path")))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return kept.select(
-        "path", F.coalesce(text, F.decode("content", F.lit("ISO-8859-1"))).alias("content"), F.md5("content").alias("md5"), F.col("length").alias("size"), language(F.col("path")).alias("language"), F.col("modificationTime").alias("mtime")
+        "path", F.coalesce(text, F.decode("content", "ISO-8859-1")).alias("content"), F.md5("content").alias("md5"), F.col("length").alias("size"), language(F.col("path")).alias("language"), F.col("modificationTime").alias("mtime")
     )
 
 
