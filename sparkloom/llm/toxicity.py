@@ -9,7 +9,7 @@ and where the second part falls below zero, the step goes up its gradient, which
 classifier from driving the corrected risk negative. pi is the share of toxic rows among the
 training labels.
 
-Features are presences, hashed to 2**18 places: every distinct word (runs of letters, lower-cased)
+Features are presences, told by 32-bit hashes ("places"): every distinct word (runs of letters, lower-cased)
 and its first 4 and 5 letters where it is longer, so that inflected and compound forms share
 weight. Training keeps the places whose rate among the positives, less `sure` standard errors, is
 `lift` times that among the unlabelled; 1 / pi is the largest lift there is.
@@ -34,29 +34,39 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, crc_of_id, scan
 
-DIM = 1 << 18
 SCORES = "doc_id long, score double"
 WORD = re.compile(r"[^\W\d_]+").findall
-_PLACES: dict[str, tuple[int, ...]] = {}
 
 
 def places_of_word(w: str) -> tuple[int, ...]:
-    b = w.encode()
-    return tuple(zlib.crc32(x) % DIM for x in (b, *(b"^" + w[:k].encode() for k in (4, 5) if len(w) > k)))
+    return tuple(zlib.crc32(x.encode()) for x in (w, *("^" + w[:k] for k in (4, 5) if len(w) > k)))
 
 
 def places_of(text: str | None) -> np.ndarray:
     """Sorted distinct feature places of a text."""
-    out: set[int] = set()
-    if text:
-        if len(_PLACES) > 100_000:
-            _PLACES.clear()
-        for w in set(WORD(text.lower())):
-            p = _PLACES.get(w)
-            if p is None:
-                p = _PLACES[w] = places_of_word(w)
-            out.update(p)
-    return np.fromiter(sorted(out), dtype=np.int64, count=len(out))
+    out = {p for w in set(WORD(text.lower())) for p in places_of_word(w)} if text else ()
+    return np.fromiter(sorted(out), dtype=np.uint32, count=len(out))
+
+
+class Model:
+    """Sorted places, their weights and a bias."""
+
+    def __init__(self, places: np.ndarray, weights: np.ndarray, bias: float):
+        self.column, self.weights, self.bias = {int(p): i for i, p in enumerate(places)}, weights, bias
+        self.words: dict[str, tuple[int, ...]] = {}
+
+    def score(self, text: str | None) -> float:
+        """The probability of label 1. The columns of words are kept, up to a number of words; most have none."""
+        words, found = self.words, set()
+        if len(words) > 200_000:
+            words.clear()
+        for w in set(WORD(text.lower())) if text else ():
+            c = words.get(w)
+            if c is None:
+                c = words[w] = tuple(self.column[p] for p in places_of_word(w) if p in self.column)
+            if c:
+                found.update(c)
+        return float(sigmoid(self.weights[sorted(found)].sum() + self.bias))
 
 
 class Rows:
@@ -85,17 +95,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], lift: float, sure: float) -> np.ndarray:
     """The places to learn from, sorted: the rate among the positives, less `sure` standard errors, is `lift` times the other."""
-    p, u = (np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=DIM) for rows in (positive, unlabelled))
-    return np.flatnonzero((p - sure * np.sqrt(p)) * max(1, len(unlabelled)) > lift * (u + 1) * len(positive))
+    places, p = np.unique(np.concatenate([*positive, np.zeros(0, np.uint32)]), return_counts=True)
+    every = np.concatenate([*unlabelled, np.zeros(0, np.uint32)])
+    at = np.minimum(np.searchsorted(places, every), max(0, len(places) - 1))
+    u = np.bincount(at[places[at] == every], minlength=len(places)) if len(places) else p
+    return places[(p - sure * np.sqrt(p)) * max(1, len(unlabelled)) > lift * (u + 1) * len(positive)]
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, lift: float = 3.0, sure: float = 1.64, steps: int = 1200, rate: float = 0.05, decay: float = 1e-5, batch: int = 2000, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights of the DIM places and the bias that lower the non-negative corrected risk; Adam on batches."""
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, lift: float = 4.0, sure: float = 1.3, steps: int = 2500, rate: float = 0.05, decay: float = 1e-6, batch: int = 2000, seed: int = 5) -> Model:
+    """The model that lowers the non-negative corrected risk; Adam on batches."""
     rng = np.random.default_rng(seed)
     places = telling(positive, unlabelled, lift, sure)
-    dim, column = len(places), np.full(DIM, -1)
-    column[places] = np.arange(dim)
-    narrow = lambda rows, part: Rows([c[c >= 0] for c in (column[rows[i]] for i in part)], dim)
+    dim = len(places)
+
+    def narrow(rows, part):
+        at = [np.searchsorted(places, rows[i]) for i in part]
+        return Rows([a[(a < dim) & (places[np.minimum(a, dim - 1)] == rows[i])] if dim else a[:0] for a, i in zip(at, part, strict=True)], dim)
+
     rows_p, rows_u = ([narrow(rows, part) for part in folds(len(rows), batch, rng)] for rows in (positive, unlabelled))
     w, bias, m, v = np.zeros(dim), float(np.log(prior / (1 - prior))), np.zeros(dim + 1), np.zeros(dim + 1)
     for t in range(1, steps + 1):
@@ -112,9 +128,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    weights = np.zeros(DIM)
-    weights[places] = w
-    return weights, float(bias)
+    return Model(places, w, float(bias))
 
 
 def folds(n: int, batch: int, rng) -> list[np.ndarray]:
@@ -150,7 +164,7 @@ def draw(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
     """Features of the texts of at most n ids, one of a group of copies; made on the executors.
 
     The ids, bounded by n, are broadcast, so that the texts are filtered where they are read."""
-    ddl = "place long, places array<int>, sketch array<long>"
+    ddl = "place long, places array<long>, sketch array<long>"
 
     def featurize(batches):
         for b in batches:
@@ -158,11 +172,11 @@ def draw(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
 
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("place"), "text")
     rows = picked.mapInArrow(featurize, ddl).limit(2 * n).toLocalIterator()
-    return first_of_copies(sorted(((r[0], np.array(r[1], dtype=np.int32), r[2]) for r in rows), key=lambda r: (r[0], len(r[1]))))
+    return first_of_copies(sorted(((r[0], np.array(r[1], dtype=np.uint32), r[2]) for r in rows), key=lambda r: (r[0], len(r[1]))))
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 12_000, **params) -> tuple[np.ndarray, float] | None:
-    """Weights and bias from training labels and texts; None where no training label is toxic."""
+def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 12_000, **params) -> Model | None:
+    """The model from training labels and texts; None where no training label is toxic."""
     keep = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~is_held_out(F.col("doc_id")))
     keep = keep.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = keep.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -177,20 +191,16 @@ def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabell
     return train_nnpu(p, u, prior, **params)
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
+def score(documents: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every row."""
     docs = scan(documents, "doc_id", "text")
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    weights = documents.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        w, bias = weights.value
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows.append((doc_id, float(sigmoid(w[places_of(text)].sum(dtype=np.float64) + bias))))
-            yield arrow_batch(SCORES, rows)
+            yield arrow_batch(SCORES, [(doc_id, shared.value.score(text)) for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
 
     return docs.mapInArrow(run, SCORES)
 
