@@ -87,6 +87,8 @@ def limits(measured: DataFrame, width: float = 3.0, k: int = 400, min_rows: int
     passed = measured.where(~base_failed()).select("lang", "source", *(c.alias(n) for n, c in rates().items()))
     groups = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(n, F.lit(k)).alias(n) for n in RATES))
     groups = materialise(groups, "quality-sketches")
+    if groups.isEmpty():
+        return groups.select("lang", "source", *(F.lit(None).cast("double").alias(f"{side}_{n}") for n in RATES for side in ("low", "high")))
     merged = lambda *by: groups.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(n, F.lit(k)).alias(n) for n in RATES))
     quartiles = lambda sketch: [F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75)]
     every = merged().select(*(c.alias(f"{name}{i}") for name in RATES for i, c in enumerate(quartiles(F.col(name))))).first()
