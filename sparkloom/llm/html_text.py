@@ -9,8 +9,8 @@ a node has
 * presentation importance: the entropy of its sequences of child tags to base m.
 
 A branch's importance is (1 - gamma) * presentation + gamma * mean content importance of the blocks
-below it; for a node with text only it is the content importance. Branches below `least` that at
-least `min_pages` pages share are cut. Independently, elements that state what they are (nav,
+below it; for a node with text only it is the content importance. A branch is cut if it and
+everything below it stay under `least` and at least `min_pages` pages share a block of it. Independently, elements that state what they are (nav,
 footer, form, class "ad", ...) are cut, and where a page marks its article or main part, only that
 part is text. Plain paragraphs, headings, lists and tables of a marked article are never cut for
 being repeated, since whole articles are republished.
@@ -259,9 +259,9 @@ def low_branches(pages: DataFrame, least: float = 0.35, gamma: float = 0.9, min_
     shape = logs.where("kind = 1").groupBy("host", "path").agg(F.sum(F.col("c")).alias("n"), F.first("m").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("clogc"))
     shape = shape.select("host", "path", ((F.log(F.col("n").cast("double")) - F.col("clogc") / F.col("n")) / F.log(F.col("m").cast("double"))).alias("presentation"))
     above = content.select("host", "content", "shown", F.explode(F.expr("transform(sequence(2, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")).alias("path"))
-    mean = above.groupBy("host", "path").agg(F.avg("content").alias("below"), F.max("shown").alias("shown"))
+    mean = above.groupBy("host", "path").agg(F.avg("content").alias("below"), F.max("content").alias("peak"), F.max("shown").alias("shown"))
     joined = mean.join(shape, ["host", "path"], "left").withColumn("importance", F.when(F.col("presentation").isNull(), F.col("below")).otherwise((1 - gamma) * F.col("presentation") + gamma * F.col("below")))
-    return joined.where((F.col("importance") < least) & (F.col("shown") >= min_pages)).select("host", "path", "importance")
+    return joined.where((F.col("importance") < least) & (F.col("peak") < least) & (F.col("shown") >= min_pages)).select("host", "path", "importance")
 
 
 def is_low(host: str, path: str, low) -> bool:
