@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.detect import skip_compiled
+from ..functions.text import line_range
 from ..operators import bm25, extract, fusion, graph, incremental, resolve, skeleton, vectors
 from ..sources import files as sources
+from ..streaming import watch
 
 FIELDS = {"content": "content", "symbol_name": "symbol_name"}
+POSTINGS = "id string, field string, term string, n_tokens long, tf long"
 
 
 @dataclasses.dataclass
@@ -36,7 +39,7 @@ class Index:
         self.provider = provider or vectors.HashingProvider(self.config.embedding_dims)
 
     def __getattr__(self, name: str) -> DataFrame:
-        kinds = {"files": schemas.FILES, "functions": None, "calls": schemas.CALLS, "classes": None, "symbols": extract.SYMBOLS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "cache": "hash string, vector array<float>", "hashes": schemas.HASHES}
+        kinds = {"files": schemas.FILES, "functions": None, "calls": schemas.CALLS, "classes": None, "symbols": extract.SYMBOLS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "cache": "hash string, vector array<float>", "hashes": schemas.HASHES, "postings": POSTINGS, "field_stats": "field string, n_docs long, mean_tokens double"}
         if name not in kinds:
             raise AttributeError(name)
         ddl = kinds[name] or {"functions": schemas.FUNCTIONS, "classes": schemas.CLASSES}[name]
@@ -68,6 +71,9 @@ def build_index(spark: SparkSession, root: str | DataFrame, out: str, config: so
     chunks = extract.chunks_of(symbols, index.config.min_chunk_chars)
     embedded, added = vectors.embed_cached(chunks.select(F.col("snippet_id").alias("id"), "content"), index.cache, index.provider)
     tables = {"files": files, "symbols": symbols, "hashes": hashes, "functions": functions, "classes": classes, "calls": calls, "chunks": chunks, "vectors": embedded.select("id", "vector"), "cache": index.cache.unionByName(added)}
+    post = bm25.postings(chunks, "snippet_id", FIELDS, index.config.tokenizer)
+    tables["postings"] = post.repartitionByRange("term").sortWithinPartitions("term")  # a term's rows lie in few row groups
+    tables["field_stats"] = bm25.field_stats(chunks, "snippet_id", FIELDS, index.config.tokenizer)
     version = index.store.write(tables)
     staged.drop()
     index.store.prune()
@@ -89,7 +95,8 @@ def search(index: Index, query: str, limit: int = 10, tokenizer: str | None = No
     pool = max(c.channel_limit, limit)
     dense = vectors.knn(index.vectors, index.provider.embed([query])[0], pool).select("id", "score")
     channels = [fusion.ranked(dense, "dense", [F.desc(F.round("score", 9)), "id"])]
-    sparse = bm25.search(chunks, "snippet_id", query, pool, FIELDS, tokenizer or c.tokenizer)
+    built = tokenizer in (None, c.tokenizer)  # else the postings of the other tokenizer are made now
+    sparse = bm25.search(chunks, "snippet_id", query, pool, FIELDS, tokenizer or c.tokenizer, post=index.postings if built else None, stats=index.field_stats if built else None)
     channels.append(fusion.ranked(sparse, "sparse", [F.desc(F.round("score", 9)), "id"]))
     fused = fusion.rrf(channels, c.rrf_k)
     if c.rrf_top_k:
@@ -141,6 +148,34 @@ def snippet(index: Index, name: str, path: str | None = None) -> dict:
     return {"success": True, "data": {"filepath": r["file_path"], "function_name": name, "code_snippet": text, "line_start": r["line_start"], "line_end": r["line_end"], "language": r["language"]}}
 
 
+def neighbour_snippets(index: Index, symbol: str, direction: str = "callers") -> DataFrame:
+    """name, file_path, line_start, line_end and text of the callers or callees of a symbol."""
+    near = graph.neighbours(index.calls, index.functions, graph.find_by_name(index.functions, symbol), direction)
+    rows = near.select("id", "name", "file_path", "line_start", "line_end").distinct()
+    text = index.files.select(F.col("path").alias("file_path"), "content")
+    return rows.join(text, "file_path").select("name", "file_path", "line_start", "line_end", line_range(F.col("content"), F.col("line_start"), F.col("line_end")).alias("code_snippet"))
+
+
+def search_entities(index: Index, name: str) -> DataFrame:
+    """Functions and classes of a name, with kind."""
+    columns = ["id", "name", "file_path", "line_start", "line_end", "language"]
+    return graph.entities(index.functions.select(*columns), index.classes.select(*columns), name)
+
+
+def repository_stats(index: Index) -> DataFrame:
+    """One row: the graph's totals, and how many classes there are of each type."""
+    kinds = index.classes.groupBy("class_type").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_type", "count")))).alias("classes"))
+    return graph.stats(index.calls, index.functions).withColumn("k", F.lit(1)).join(kinds.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def watch_index(spark: SparkSession, root: str, out: str, events: str, checkpoint: str):
+    """A streaming query that builds the index anew after every burst of event files in `events`.
+
+    Building looks at hashes, so a repeated micro-batch does nothing."""
+    bursts = watch.debounce_stream(watch.read_events(spark, events))
+    return watch.on_burst(bursts, lambda batch, batch_id: build_index(spark, root, out), checkpoint)
+
+
 def projects(spark: SparkSession, home: str) -> DataFrame:
     """project, index_dir and version of every index in the folders of home."""
     jvm = spark.sparkContext._jvm

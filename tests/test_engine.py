@@ -169,6 +169,10 @@ def test_index_from_scan_to_search(spark, tmp_path):
     assert api.snippet(index, "run", "b.rs")["data"]["line_end"] == 3
     assert not api.snippet(index, "nothing")["success"]
     assert json.loads(api.skeletons(index, ["lib/b.rs", "zz.py"]).first()[0])["data"]["skeletons"][0]["skeleton_text"] == "fn run() { ... }"
+    assert [r["code_snippet"] for r in api.neighbour_snippets(index, "load").collect()] == ["fn run() {\n    load();\n}"]
+    assert api.search_entities(index, "run").first()["kind"] == "function"
+    assert api.repository_stats(index).first()["total_functions"] == 3
+    assert index.postings.where("term = 'parse'").count() > 0
     (src / "a.py").write_text("def load():\n    return 2\n")
     (src / "lib/b.rs").unlink()
     stats = api.build_index(spark, f"file://{src}", out)
