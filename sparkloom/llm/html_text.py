@@ -73,7 +73,13 @@ def host_of(url: str | None) -> str:
 
 
 def words_of(value: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w]
+    """The words of a class, id or role. Names that only state what is there or not (has-sidebar) have none."""
+    out = []
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        if not {"has", "with", "no", "without", "not", "is"}.intersection(words):
+            out += words
+    return out
 
 
 class Node:

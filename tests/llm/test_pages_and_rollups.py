@@ -26,6 +26,9 @@ HARD = [(1, None, None), (2, "http://h/a", ""), (3, "not a url", "<p>plain"), (3
 def test_article_text():
     assert "\n\n".join(b[1] for b in html_text.candidates(html_text.Page(ARTICLE))) == TEXT
     assert html_text.host_of("HTTP://u@Ex.com:80/a") == "ex.com"
+    assert html_text.words_of("has-sidebar siteNav no-ads") == ["site", "nav"]
+    page = html_text.Page('<body class="with-sidebar"><div id="content" class="no-sidebar"><h1>A</h1>b<div class="sidebar">c</div></div><div role="search">d</div>')
+    assert [b[1] for b in html_text.candidates(page)] == ["A", "b"]
 
 
 @pytest.mark.parametrize("broadcast_rows", [300_000, -1])
