@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def rank_all(hits: DataFrame) -> DataFrame:
     """id, score and rank (score falling, id rising) of any number of hits, without one task for all.
@@ -12,7 +14,8 @@ def rank_all(hits: DataFrame) -> DataFrame:
     Rows are sorted by range; a row's rank is its place in its partition plus the rows before it."""
     part = hits.select("id", "score").repartitionByRange(F.desc("score"), "id").sortWithinPartitions(F.desc("score"), "id")
     placed = part.withColumn("m", F.monotonically_increasing_id()).withColumn("p", F.shiftright("m", 33).cast("int"))
-    placed = placed.withColumn("at", F.col("m") - F.shiftleft(F.col("p").cast("long"), 33))
+    # written once: a second run of the range sort may draw other bounds
+    placed = cut(placed.withColumn("at", F.col("m") - F.shiftleft(F.col("p").cast("long"), 33)))
     counts = {r["p"]: r["count"] for r in placed.groupBy("p").count().collect()}
     before, total = [], 0
     for p in sorted(counts):

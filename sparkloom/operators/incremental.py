@@ -49,8 +49,8 @@ def remove_file_from_graph(functions: DataFrame, calls: DataFrame, paths: DataFr
 class Snapshots:
     """Versioned table folders under one root and a pointer file that names the current one.
 
-    A version is written whole, then the pointer is replaced by a rename; readers see the old or the
-    new version. Through Hadoop's file systems, so the root may be on any store that they know."""
+    A version is written whole, then the pointer is replaced by an overwriting rename; readers see the
+    old or the new version. Through Hadoop's file systems, so the root may be on any store that they know."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -77,11 +77,11 @@ class Snapshots:
         stream = self.fs.create(tmp, True)
         stream.write(json.dumps({"version": version, "tables": sorted(tables)}).encode())
         stream.close()
-        target = self._path(f"{self.root}/CURRENT")
-        if self.fs.exists(target):
-            self.fs.delete(target, False)
-        if not self.fs.rename(tmp, target):
-            raise OSError(f"could not publish version {version}")
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        over = sc._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(tmp.toUri(), sc._jsc.hadoopConfiguration()).rename(tmp, self._path(f"{self.root}/CURRENT"), over)
         return version
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:

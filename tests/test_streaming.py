@@ -39,3 +39,19 @@ def test_stream_of_event_files(spark, tmp_path):
     q = bursts.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda b, i: seen.extend(b.collect())).start()
     q.awaitTermination(120)
     assert sorted((r["n_events"], tuple(r["paths"])) for r in seen)[:2] == [(1, ("z.rs",)), (2, ("a.rs",))]
+
+
+def test_processing_time_timer(spark, tmp_path):
+    import time
+
+    folder = tmp_path / "events"
+    folder.mkdir()
+    (folder / "0.json").write_text("\n".join(json.dumps({"path": p, "kind": "Modify", "ts": "2024-01-01T00:00:00Z"}) for p in ("b.rs", "a.rs", "a.rs", "x.png")))
+    seen = []
+    q = watch.debounce_timer(watch.read_events(spark, str(folder)), 500).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").foreachBatch(lambda b, i: seen.extend(b.collect())).start()
+    for _ in range(60):
+        if seen:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert [(r["project"], r["paths"]) for r in seen] == [("default", ["a.rs", "b.rs"])]
