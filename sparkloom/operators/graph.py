@@ -261,13 +261,13 @@ def reach_back(e: DataFrame, marks: DataFrame) -> DataFrame:
 def cycles(calls: DataFrame, longest: int = 6) -> DataFrame:
     """Elementary cycles of up to `longest` functions, each once, rotated to start at its least id: path, length."""
     e = cut(edges(calls).select("src", "dst").distinct())
-    open_, done = e.where("src <= dst").select(F.array("src", "dst").alias("path")), None
-    loops = open_.where(F.element_at("path", 1) == F.element_at("path", 2)).select(F.slice("path", 1, 1).alias("path"))
-    done, open_ = loops, cut(open_.where(F.element_at("path", 1) < F.element_at("path", 2)))
+    done = e.where("src = dst").select(F.array("src").alias("path"))
+    open_ = cut(e.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")))
     for _ in range(2, longest + 1):
-        grown = open_.withColumn("src", F.element_at("path", -1)).join(e, "src")
-        done = done.unionByName(grown.where(F.col("dst") == F.element_at("path", 1)).select("path"))
-        open_ = cut(grown.where((F.col("dst") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+        grown = open_.join(e.select(F.col("src").alias("last"), "dst"), "last")
+        done = done.unionByName(grown.where("dst = first").select("path"))
+        longer = grown.where("dst > first").where(~F.array_contains("path", F.col("dst")))
+        open_ = cut(longer.select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")))
         if open_.isEmpty():
             break
     return done.withColumn("length", F.size("path"))
