@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +34,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Per worker process: tokenizer definition -> (tokenizer, chunk -> ids).
 _LOADED: dict[int, tuple] = {}
 _CACHE_CHUNKS = 400_000
+#: So many of the first ones stay when it is full: frequent chunks come early.
+_KEPT_CHUNKS = 150_000
+_CHARS_AT_ONCE = 1_000_000
 
 
 class ChunkTokenizer:
@@ -40,7 +45,7 @@ class ChunkTokenizer:
     Blank-separated chunks are then encoded independently of their neighbours, so ids are cached
     by chunk. A chunk of Latin letters with ASCII marks behind it is further split into both,
     as the tokenizer itself does after lower-casing, and new letter runs are encoded in one text.
-    The caches are emptied at a fixed number of entries."""
+    The caches hold a fixed number of entries."""
 
     MARKS = ".,;:!?%$&*#|"
     LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
@@ -90,16 +95,34 @@ class ChunkTokenizer:
             cache[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for at in range(0, len(texts), 256):
-            some = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 256]]
-            missing = set().union(*some).difference(self.cache)
-            if missing:
-                if len(self.cache) + len(missing) > _CACHE_CHUNKS or len(self.stems) > _CACHE_CHUNKS:
-                    self.cache, self.stems = {}, {"": b""}
-                    missing = set().union(*some)
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < _CHARS_AT_ONCE:
+                text = texts[at] or ""
+                some.append(text.replace("\n", " ").split(" ") if text else [])
+                at, size = at + 1, size + len(text)
+            chunks = list(chain.from_iterable(some))
+            found = list(map(self.cache.get, chunks))
+            places, i = [], -1
+            try:
+                while True:
+                    places.append(i := found.index(None, i + 1))
+            except ValueError:
+                pass
+            if places:
+                missing = {chunks[i] for i in places}
+                if len(self.cache) + len(missing) > _CACHE_CHUNKS:
+                    self.cache = dict(islice(self.cache.items(), _KEPT_CHUNKS))
+                if len(self.stems) > _CACHE_CHUNKS:
+                    self.stems = dict(islice(self.stems.items(), _KEPT_CHUNKS))
                 self.learn(missing)
-            for chunks in some:
-                yield np.frombuffer(b"".join(map(self.cache.__getitem__, chunks)), dtype="<u4")
+                for i in places:
+                    found[i] = self.cache[chunks[i]]
+            i = 0
+            for own in some:
+                yield np.frombuffer(b"".join(found[i : i + len(own)]), dtype="<u4")
+                i += len(own)
 
 
 class Packer:
@@ -109,6 +132,7 @@ class Packer:
         self.size, self.next_id, self.rows = size, first_id, []
         self.levels = np.zeros(size + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
+        self.filled: list[int] = []
 
     def emit(self, pieces: list[tuple]) -> None:
         """pieces of one finished sequence: (doc_id, start, ids, doc_tokens)."""
@@ -119,13 +143,24 @@ class Packer:
         self.next_id += 1
 
     def choose(self, s: int) -> int:
-        """The level, 0 for a new window, at which s tokens give the least sum of squared counts."""
-        n, size = self.levels, self.size
-        change = 2 * (n[s : size + 1] - n[: size - s + 1]) + 2
-        change[0] = 2 * n[s] + 1
-        change[size - s] = 1 - 2 * n[size - s] if s < size else 0
-        change[1:][n[1 : size - s + 1] == 0] = np.iinfo(np.int64).max
-        return int(size - s - np.argmin(change[::-1]))
+        """The level, 0 for a new window, at which s < size tokens give the least sum of squared counts."""
+        n, room = self.levels, self.size - s
+        h = np.array(self.filled[: bisect_right(self.filled, room)], dtype=np.int64)
+        if not len(h):
+            return 0
+        change = 2 * (n[h + s] - n[h]) + 2
+        if h[-1] == room:
+            change[-1] = 1 - 2 * n[room]
+        at = len(h) - 1 - int(np.argmin(change[::-1]))
+        return int(h[at]) if change[at] <= 2 * n[s] + 1 else 0
+
+    def count(self, level: int, by: int) -> None:
+        """Adds windows to a level; `filled` lists the levels that have any, in order."""
+        if by > 0 and not self.levels[level]:
+            insort(self.filled, level)
+        self.levels[level] += by
+        if by < 0 and not self.levels[level]:
+            self.filled.remove(level)
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         total, size = len(ids), self.size
@@ -139,12 +174,12 @@ class Packer:
         pieces = [piece]
         if h:
             pieces = self.open[h].pop() + pieces
-            self.levels[h] -= 1
+            self.count(h, -1)
         if h + s == size:
             self.emit(pieces)
         else:
             self.open.setdefault(h + s, []).append(pieces)
-            self.levels[h + s] += 1
+            self.count(h + s, 1)
 
     def close(self) -> None:
         left = [p for h in sorted(self.open, reverse=True) for w in self.open[h] for p in w]
@@ -160,7 +195,7 @@ class Packer:
                 if not room:
                     self.emit(now)
                     now = []
-        self.open, self.levels[:] = {}, 0
+        self.open, self.filled, self.levels[:] = {}, [], 0
 
 
 def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096) -> DataFrame:
