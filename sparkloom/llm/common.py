@@ -58,6 +58,20 @@ def scan(df: DataFrame, id_column: str, *columns: str) -> DataFrame:
     return df.select(F.col(id_column).cast("long").alias(id_column), *columns)
 
 
+def trim_memory() -> None:
+    """Gives freed memory of a Python worker back to the system; workers outlive tasks and stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, scan
+from .common import arrow_batch, scan, trim_memory
 
 #: bytes.translate table: A-Z lower-cased, ASCII other than letters and digits turned into blanks.
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
@@ -121,6 +121,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, block
                     hit = int(mask.sum())
                     rows.append((doc_id, len(words), hit, len(items), digest(items) if items else none, hit > 0))
                 yield arrow_batch(HITS, rows)
+            trim_memory()
 
         return docs.mapInArrow(run, HITS)
 

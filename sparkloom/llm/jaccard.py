@@ -47,7 +47,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, materialise
+from .common import arrow_batch, materialise, scan, trim_memory
 from .components import components
 
 #: A random 64-bit value for every byte, the same for A-Z as for a-z; which bytes part words.
@@ -132,8 +132,9 @@ def sets_of(documents: DataFrame, n: int, sampled: float) -> DataFrame:
                 s = shingles(text.as_py(), n)
                 rows.append((doc_id, len(s), len(low_part(s, sampled)), set_id(s) if len(s) else None))
             yield arrow_batch(SETS, rows)
+        trim_memory()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return scan(documents, "doc_id", "text").mapInArrow(run, SETS)
 
 
 def blocks(documents: DataFrame, n: int, buckets: int, choose, bitmap=None) -> DataFrame:
@@ -156,13 +157,14 @@ def blocks(documents: DataFrame, n: int, buckets: int, choose, bitmap=None) -> D
                 chosen = choose(s)
                 part.append((key, len(s), chosen))
                 held += len(chosen)
-                if held > 4_000_000:
+                if held > 1_500_000:
                     yield pack(part, buckets)
                     part, held = [], 0
             if part:
                 yield pack(part, buckets)
+        trim_memory()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
+    return scan(documents, "doc_id", "text").mapInArrow(run, BLOCKS)
 
 
 def pack(part: list[tuple[int, int, np.ndarray]], buckets: int):
@@ -201,6 +203,7 @@ def shared(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def shared_counts(table):
     """How many of each set's tokens in the bucket another set holds, where any."""
     _, keys, _, _ = shared(table)
+    trim_memory()
     return arrow_table("set_id long, n_shared long", list(zip(*(x.tolist() for x in np.unique(keys, return_counts=True)), strict=True)))
 
 
@@ -216,6 +219,7 @@ FREQUENCIES = "set_id long, n int, tokens binary, df binary"
 def frequencies(table):
     """Per set of a bucket: its shared tokens and their frequencies."""
     tokens, keys, sizes, df = shared(table)
+    trim_memory()
     order = np.argsort(keys, kind="stable")
     tokens, keys, sizes, df = tokens[order], keys[order], sizes[order], df[order].astype(np.int32)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
@@ -311,6 +315,7 @@ def candidates(merged: DataFrame, percent: int, rare: int) -> DataFrame:
                 if sigs is not None and len(sigs):
                     rows.append((key, n, np.sort(t).tobytes(), sigs.astype(np.int64).tolist()))
             yield arrow_batch(CANDIDATES, rows)
+        trim_memory()
 
     return merged.mapInArrow(run, CANDIDATES)
 
@@ -429,7 +434,9 @@ def linked_sets(sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
     spread = sets.select("set_id", "n", (F.octet_length("tokens") / 8).cast("int").alias("s"), F.explode("sigs").alias("sig"))
     held = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("set_id") % (1 << 40)).alias("h"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("x"))
     busy = held.where("m > 1").groupBy("m", "h", "x").agg(F.min("sig").alias("sig")).select("sig")
-    spread, label = materialise(with_partners(spread.join(busy, "sig"), percent), "jaccard-signatures"), None
+    # written between the two: a sum right behind a join on its own key would keep a skewed join from being split
+    spread, label = materialise(spread.join(busy, "sig"), "jaccard-shared-signatures"), None
+    spread = materialise(with_partners(spread, percent), "jaccard-signatures")
     for k in range(rounds + 1):
         now = spread.withColumn("comp", F.col("set_id")) if label is None else spread.join(label, "set_id", "left").withColumn("comp", F.coalesce("root", "set_id")).drop("root")
         per = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, crc_of_id, scan
+from .common import arrow_batch, crc_of_id, scan, trim_memory
 
 SEGMENT = 48
 UNKNOWN = "und"
@@ -224,12 +224,13 @@ def predict(documents: DataFrame, model: tuple[list[str], BiGRU | None], rows_at
             todo = [i for i, t in enumerate(texts) if net and t and HAS_LETTER(t)]
             while todo:
                 some, size = [], 0
-                while todo and size < 4_000_000:
+                while todo and size < 1_000_000:
                     some.append(todo.pop())
                     size += len(texts[some[-1]])
                 for i, p in zip(some, pooled(net, [texts[i] for i in some]), strict=True):
                     out[i] = (langs[int(p.argmax())], float(p.max()))
             yield arrow_batch(PREDICTED, [(doc_id, *out.get(i, (UNKNOWN, 0.0))) for i, doc_id in enumerate(ids)])
+        trim_memory()
 
     return scan(documents, "doc_id", "text").mapInArrow(run, PREDICTED)
 

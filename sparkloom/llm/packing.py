@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, scan
+from .common import arrow_batch, scan, trim_memory
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -223,6 +223,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, size: int =
             packer.rows = []
         packer.close()
         yield arrow_batch(PIECES, packer.rows)
+        trim_memory()
 
     return scan(documents, "doc_id", "text").mapInArrow(run, PIECES)
 

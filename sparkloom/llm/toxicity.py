@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, crc_of_id, scan
+from .common import arrow_batch, crc_of_id, scan, trim_memory
 
 SCORES = "doc_id long, score double"
 WORD = re.compile(r"[^\W\d_]+").findall
@@ -168,7 +168,10 @@ def draw(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
 
     def featurize(batches):
         for b in batches:
-            yield arrow_batch(ddl, [(p, places_of(t).tolist(), sketch_of(t)) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+            places, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for i in range(0, len(texts), 200):
+                yield arrow_batch(ddl, [(p, places_of(t).tolist(), sketch_of(t)) for p, t in zip(places[i : i + 200], texts[i : i + 200], strict=True)])
+        trim_memory()
 
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("place"), "text")
     rows = picked.mapInArrow(featurize, ddl).limit(2 * n).toLocalIterator()
@@ -201,6 +204,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         for b in batches:
             yield arrow_batch(SCORES, [(doc_id, shared.value.score(text)) for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+        shared.value.words.clear()  # the worker lives on for other stages
+        trim_memory()
 
     return docs.mapInArrow(run, SCORES)
 
