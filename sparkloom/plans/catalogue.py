@@ -356,6 +356,17 @@ def has_cycle(spark, d):
     return spark.createDataFrame([(graph.strong_has_cycle(successors(spark, d)),)], "has_cycles boolean")
 
 
+@query()
+def strong_components_all_calls(spark, d):
+    """Over every call; no SQL, as the closure of a graph this dense is too slow. Tests use brute force."""
+    return graph.strong_components(calls_of(spark, d), functions_of(spark, d))
+
+
+@query()
+def has_cycle_all_calls(spark, d):
+    return spark.createDataFrame([(graph.strong_has_cycle(calls_of(spark, d)),)], "has_cycles boolean")
+
+
 @query(f"""WITH RECURSIVE {SUCCESSORS}, c AS (SELECT a, [a] AS path, b AS last FROM e UNION ALL SELECT c.a, list_append(path, last), e.b FROM c JOIN e ON e.a = last WHERE last > c.a AND NOT list_contains(path, last) AND len(path) < 6)
 SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS length FROM c WHERE last = a""")
 def cycle_paths(spark, d):

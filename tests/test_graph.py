@@ -4,6 +4,7 @@ from collections import deque
 import pytest
 
 from sparkloom.operators import graph
+from sparkloom.plans import catalogue
 
 TOPOLOGIES = {
     "linear": [("A", "B"), ("B", "C"), ("C", "D")],
@@ -90,3 +91,28 @@ def test_calls_to_unknown_functions(spark):
     assert graph.dedup_calls(c).count() == 3
     assert graph.with_endpoints(c, f).count() == 2
     assert graph.stats(c, f).first()["unresolved_calls"] == 1
+
+
+def call_tables(spark, folder, orders, parts):
+    """lineitem and part tables where order k lists the parts orders[k] in line order."""
+    lines = [(k, p, 1, i, "N") for k, order in enumerate(orders) for i, p in enumerate(order)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    rows = [(p, f"f{p}", "b", "t", 1) for p in parts]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    return str(folder), {pair for order in orders for pair in zip(order, order[1:], strict=False)}
+
+
+def test_components_of_all_calls(spark, tmp_path):
+    # 1 calls 2 twice and 3 once: the way back from 3 is on the second call only
+    orders = [(1, 2), (1, 2), (1, 3), (3, 1), (4, 5), (4, 5), (4, 6), (6, 7, 4), (8, 9)]
+    d, pairs = call_tables(spark, tmp_path, orders, range(1, 11))
+    reach = {v: set(depths(pairs, v, 99)) for v in range(1, 11)}
+    want = {v: min(w for w in reach[v] if v in reach[w]) for v in reach}
+    assert dict(catalogue.strong_components_all_calls(spark, d).collect()) == want
+    assert want[3] == 1 and want[7] == 4 and want[9] == 9
+
+
+@pytest.mark.parametrize(("orders", "want"), [([(1, 2), (1, 2), (1, 3), (3, 1)], True), ([(1, 2), (1, 3), (3, 4)], False), ([(1, 1)], True)])
+def test_cycle_on_a_second_call_is_found(spark, tmp_path, orders, want):
+    d, _ = call_tables(spark, tmp_path, orders, range(1, 5))
+    assert catalogue.has_cycle_all_calls(spark, d).first()["has_cycles"] is want
