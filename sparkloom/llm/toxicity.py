@@ -12,7 +12,8 @@ training labels.
 Features are presences, told by 32-bit hashes ("places"): every distinct word (runs of letters, lower-cased)
 and its first 4 and 5 letters where it is longer, so that inflected and compound forms share
 weight. Training keeps the places whose rate among the positives, less `sure` standard errors, is
-`lift` times that among the unlabelled; 1 / pi is the largest lift there is.
+`lift` times that among the unlabelled. Those hold positives as well, so 1 / pi is the largest lift there
+is, and lift is at most its square root.
 
 The sample is bounded by parameters: at most `positives` toxic and `unlabelled` other texts, drawn by
 hash of the id over the whole table; every document is scored over its whole text in one narrow
@@ -93,19 +94,22 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], lift: float, sure: float) -> np.ndarray:
-    """The places to learn from, sorted: the rate among the positives, less `sure` standard errors, is `lift` times the other."""
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, lift: float, sure: float) -> np.ndarray:
+    """The places to learn from, sorted: the rate among the positives, less `sure` standard errors, is `lift` times the other.
+
+    A place that only positives have reaches 1 / prior, one that tells nothing 1; `lift` is at most halfway in logarithms."""
     places, p = np.unique(np.concatenate([*positive, np.zeros(0, np.uint32)]), return_counts=True)
     every = np.concatenate([*unlabelled, np.zeros(0, np.uint32)])
     at = np.minimum(np.searchsorted(places, every), max(0, len(places) - 1))
     u = np.bincount(at[places[at] == every], minlength=len(places)) if len(places) else p
+    lift = min(lift, prior**-0.5)
     return places[(p - sure * np.sqrt(p)) * max(1, len(unlabelled)) > lift * (u + 1) * len(positive)]
 
 
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, lift: float = 4.0, sure: float = 1.3, steps: int = 2500, rate: float = 0.05, decay: float = 1e-6, batch: int = 2000, seed: int = 5) -> Model:
     """The model that lowers the non-negative corrected risk; Adam on batches."""
     rng = np.random.default_rng(seed)
-    places = telling(positive, unlabelled, lift, sure)
+    places = telling(positive, unlabelled, prior, lift, sure)
     dim = len(places)
 
     def narrow(rows, part):

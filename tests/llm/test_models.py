@@ -111,6 +111,24 @@ def test_held_out_labels_are_not_read(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.5])
+def test_toxic_words_are_learnt_at_any_share(share):
+    rng = np.random.default_rng(7)
+    plain, toxic = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)], [f"{chr(97 + i)}bad" for i in range(10)]
+
+    def text(bad):
+        return " ".join([*rng.choice(plain, 20), *(rng.choice(toxic, 2) if bad else ())])
+
+    positive = [toxicity.places_of(text(True)) for _ in range(1000)]
+    unlabelled = [toxicity.places_of(text(i < share * 4000)) for i in range(4000)]
+    kept = set(toxicity.telling(positive, unlabelled, share, 4.0, 1.3).tolist())
+    assert sum(toxicity.places_of_word(w)[0] in kept for w in toxic) >= 9
+    assert sum(toxicity.places_of_word(w)[0] in kept for w in plain) <= 6
+    model = toxicity.train_nnpu(positive, unlabelled, share, steps=600)
+    scores = {bad: np.array([model.score(text(bad)) for _ in range(200)]) for bad in (True, False)}
+    assert (scores[True] >= 0.7).mean() > 0.95 and (scores[False] >= 0.7).mean() < 0.05
+
+
 def test_copies_are_learnt_from_once():
     t = toxicity.sketch_of("a b c d e f g h i j k l m n o p")
     rows = [(0, np.array([1]), t), (1, np.array([1]), t), (2, np.array([2]), toxicity.sketch_of("q r s t u v"))]
