@@ -286,6 +286,16 @@ def returned_calls(spark, d):
     return lines.where("callee_id is not null").select("caller_id", "callee_id", F.col("l_orderkey").alias("line_number"))
 
 
+@query(f"WITH {CALLS} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT callee_id FROM calls)")
+def leaf_functions_all_calls(spark, d):
+    return graph.without_callers(calls_of(spark, d), functions_of(spark, d)).select("id")
+
+
+@query(f"WITH {CALLS} SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT caller_id FROM calls)")
+def root_functions_all_calls(spark, d):
+    return graph.without_callees(calls_of(spark, d), functions_of(spark, d)).select("id")
+
+
 @query("SELECT p_type AS language, CAST(count(*) AS BIGINT) AS n_functions FROM part GROUP BY p_type")
 def lang_distribution(spark, d):
     return graph.language_distribution(functions_of(spark, d))

@@ -116,3 +116,10 @@ def test_components_of_all_calls(spark, tmp_path):
 def test_cycle_on_a_second_call_is_found(spark, tmp_path, orders, want):
     d, _ = call_tables(spark, tmp_path, orders, range(1, 5))
     assert catalogue.has_cycle_all_calls(spark, d).first()["has_cycles"] is want
+
+
+def test_leaves_and_roots_of_all_calls(spark, tmp_path):
+    # no line of these calls has l_returnflag 'R'
+    d, _ = call_tables(spark, tmp_path, [(1, 2), (2, 3)], range(1, 5))
+    assert {r["id"] for r in catalogue.leaf_functions_all_calls(spark, d).collect()} == {1, 4}
+    assert {r["id"] for r in catalogue.root_functions_all_calls(spark, d).collect()} == {3, 4}
