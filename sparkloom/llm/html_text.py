@@ -10,10 +10,12 @@ a node has
 
 A branch's importance is (1 - gamma) * presentation + gamma * mean content importance of the blocks
 below it; for a node with text only it is the content importance. A branch is cut if it and
-everything below it stay under `least` and at least `min_pages` pages share a block of it. Independently, elements that state what they are (nav,
-footer, form, class "ad", ...) are cut, and where a page marks its article or main part, only that
-part is text. Plain paragraphs, headings, lists and tables of a marked article are never cut for
-being repeated, since whole articles are republished.
+everything below it stay under `least` and at least `min_pages` pages share a block of it. Every block is a leaf of its own
+below its path (path>#hash), so a notice between paragraphs is cut where its own importance is as low. Whole articles are
+republished: a block of a marked article or main part is counted by distinct texts of that part instead of pages.
+
+Independently, elements that state what they are (nav, footer, form, class "ad", ...) are cut. Text beside a marked article
+or main part is judged as all other text where the host has `min_pages` pages, and left out where it has fewer.
 
 Statistics are summed by (host, path, block) with a combine before the shuffle, so a host with a
 third of all pages does not meet in one task; no tree is gathered anywhere. The cut branches are
@@ -51,7 +53,6 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CUT_TAGS = frozenset("nav footer aside form script style noscript template iframe button select option textarea input object embed svg canvas audio video map head title menu dialog fieldset datalist".split())
-PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption hr div section".split())
 # Words of class, id and role that name parts around an article.
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promotion promoted banner "
@@ -83,22 +84,22 @@ def words_of(value: str) -> list[str]:
 
 
 class Node:
-    """An open element: its path, whether it is cut, marked as main part, or protected from the entropy rule."""
+    """An open element: its path, whether it is cut or marked as main part."""
 
-    __slots__ = ("cut", "inline", "kids", "main", "path", "plain", "tag")
+    __slots__ = ("cut", "inline", "kids", "main", "path", "tag")
 
-    def __init__(self, tag, path, cut, main, plain, inline):
-        self.tag, self.path, self.cut, self.main, self.plain, self.inline, self.kids = tag, path, cut, main, plain, inline, []
+    def __init__(self, tag, path, cut, main, inline):
+        self.tag, self.path, self.cut, self.main, self.inline, self.kids = tag, path, cut, main, inline, []
 
 
 class Page:
-    """blocks: (path, text, in_main, plain) of uncut text in page order; shapes: (path, child tags) of elements."""
+    """blocks: (path, text, in_main) of uncut text in page order; shapes: (path, child tags) of elements."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool]] = []
         self.shapes: list[tuple[str, str]] = []
         self.has_main = False
-        self.stack = [Node("", "", False, False, False, False)]
+        self.stack = [Node("", "", False, False, False)]
         self.buffer: list[str] = []
         self.key = None
         self.read(source)
@@ -141,7 +142,7 @@ class Page:
         if self.buffer:
             text = SPACE.sub(" ", "".join(self.buffer)).strip()
             if text:
-                self.blocks.append((self.key.path, text, self.key.main, self.key.plain))
+                self.blocks.append((self.key.path, text, self.key.main))
             self.buffer = []
         self.key = None
 
@@ -173,7 +174,7 @@ class Page:
         if tag in VOID:
             return
         up = self.stack[-1]
-        cut, names, plain = up.cut or tag in CUT_TAGS, "", tag in PLAIN or inline
+        cut, names = up.cut or tag in CUT_TAGS, ""
         if not cut and tag == "header":
             cut = not up.main
         if not cut and attributes:
@@ -193,13 +194,12 @@ class Page:
                     cut = cut or any(w in ("comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo") for w in words)
                 else:
                     cut = cut or not CUT_WORDS.isdisjoint(words)
-                    plain = False
                 names = "." + ".".join(sorted(set(words)))
         main = up.main or (not cut and (tag in ("article", "main") or "role=\"main\"" in attributes))
         self.has_main = self.has_main or (main and not up.main)
         if not inline:
             up.kids.append(tag + names)
-        self.stack.append(Node(tag, up.path if inline else f"{up.path}>{tag}{names}", cut, main, main and (plain and up.plain or tag in ("article", "main")), inline))
+        self.stack.append(Node(tag, up.path if inline else f"{up.path}>{tag}{names}", cut, main, inline))
 
     def close(self, tag: str) -> None:
         if tag == "br":
@@ -224,9 +224,9 @@ def hash64(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace")) - (1 << 63)
 
 
-def candidates(page: Page) -> list[tuple[str, str, bool, bool]]:
-    """The blocks of the marked main part, or of the whole page where none is marked."""
-    return [b for b in page.blocks if b[2]] if page.has_main else page.blocks
+def candidates(page: Page) -> list[tuple[str, str, bool]]:
+    """The leaf, the text and whether it lies beside a marked main part, of every uncut block."""
+    return [(f"{path}>#{hash64(text)}", text, page.has_main and not in_main) for path, text, in_main in page.blocks]
 
 
 STATS = "host string, path string, kind int, feature long, page long"
@@ -243,9 +243,9 @@ def statistics(pages: DataFrame) -> DataFrame:
                     continue
                 host, page, digest = host_of(url), Page(source), hash64(source)
                 rows.add((host, "", 2, 0, digest))
-                for path, text, _, plain in candidates(page):
-                    if not plain:
-                        rows.add((host, path, 0, hash64(text), digest))
+                article = hash64(*(text for _, text, in_main in page.blocks if in_main))
+                for path, text, in_main in page.blocks:
+                    rows.add((host, path, 0, hash64(text), article if in_main else digest))
                 for path, kids in page.shapes:
                     if kids:
                         rows.add((host, path, 1, hash64(kids), digest))
@@ -255,7 +255,9 @@ def statistics(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame, least: float = 0.35, gamma: float = 0.9, min_pages: int = 4) -> DataFrame:
-    """host, path and importance of the branches to cut. Pages are told by digest, so copies count once."""
+    """host, path and importance of the branches and leaves to cut, and a row of path "" for every host with a tree.
+
+    Pages are told by digest, so copies count once."""
     seen = statistics(pages).distinct()
     per = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
     per = materialise(per, "style-features")
@@ -264,10 +266,12 @@ def low_branches(pages: DataFrame, least: float = 0.35, gamma: float = 0.9, min_
     content = logs.where("kind = 0").groupBy("host", "path").agg((1 - F.avg("h")).alias("content"), F.max("c").alias("shown"))
     shape = logs.where("kind = 1").groupBy("host", "path").agg(F.sum(F.col("c")).alias("n"), F.first("m").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("clogc"))
     shape = shape.select("host", "path", ((F.log(F.col("n").cast("double")) - F.col("clogc") / F.col("n")) / F.log(F.col("m").cast("double"))).alias("presentation"))
-    above = content.select("host", "content", "shown", F.explode(F.expr("transform(sequence(2, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")).alias("path"))
+    above = content.where("path <> ''").select("host", "content", "shown", F.explode(F.expr("transform(sequence(2, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")).alias("path"))
     mean = above.groupBy("host", "path").agg(F.avg("content").alias("below"), F.max("content").alias("peak"), F.max("shown").alias("shown"))
     joined = mean.join(shape, ["host", "path"], "left").withColumn("importance", F.when(F.col("presentation").isNull(), F.col("below")).otherwise((1 - gamma) * F.col("presentation") + gamma * F.col("below")))
-    return joined.where((F.col("importance") < least) & (F.col("peak") < least) & (F.col("shown") >= min_pages)).select("host", "path", "importance")
+    branches = joined.where((F.col("importance") < least) & (F.col("peak") < least) & (F.col("shown") >= min_pages)).select("host", "path", "importance")
+    leaves = logs.where("kind = 0").where((1 - F.col("h") < least) & (F.col("c") >= min_pages)).select("host", F.concat("path", F.lit(">#"), F.col("feature").cast("string")).alias("path"), (1 - F.col("h")).alias("importance"))
+    return branches.unionByName(leaves).unionByName(hosts.select("host", F.lit("").alias("path"), F.lit(1.0).alias("importance")))
 
 
 def is_low(host: str, path: str, low) -> bool:
@@ -276,7 +280,7 @@ def is_low(host: str, path: str, low) -> bool:
     return any(hash64(host, ">".join(parts[:i])) in low for i in range(2, len(parts) + 1))
 
 
-BLOCK_ROWS = "row long, page_id long, url string, seq int, host string, path string, text string"
+BLOCK_ROWS = "row long, page_id long, url string, seq int, host string, path string, text string, beside boolean"
 
 
 def extract(pages: DataFrame, broadcast_rows: int = 300_000, **params) -> DataFrame:
@@ -291,9 +295,10 @@ def extract(pages: DataFrame, broadcast_rows: int = 300_000, **params) -> DataFr
                 rows = []
                 for page_id, url, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     kept = candidates(Page(raw)) if raw else []
-                    if known.value and kept:
+                    if kept:
                         host = host_of(url)
-                        kept = [x for x in kept if x[3] or not is_low(host, x[0], known.value)]
+                        has_tree = hash64(host, "") in known.value
+                        kept = [x for x in kept if not (is_low(host, x[0], known.value) if has_tree else x[2])]
                     text = "\n\n".join(x[1] for x in kept)
                     rows.append((page_id, url, text, len(text)))
                 yield arrow_batch(TEXTS, rows)
@@ -308,14 +313,15 @@ def extract(pages: DataFrame, broadcast_rows: int = 300_000, **params) -> DataFr
             rows = []
             for page_id, url, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 row += 1
-                rows.append((row, page_id, url, -1, None, None, None))
-                for seq, (path, text, _, plain) in enumerate(candidates(Page(raw)) if raw else ()):
-                    rows.append((row, page_id, url, seq, None if plain else host_of(url), None if plain else path, text))
+                rows.append((row, page_id, url, -1, None, None, None, False))
+                for seq, (path, text, beside) in enumerate(candidates(Page(raw)) if raw else ()):
+                    rows.append((row, page_id, url, seq, host_of(url), path, text, beside))
             yield arrow_batch(BLOCK_ROWS, rows)
 
     blocks = materialise(source.mapInArrow(split, BLOCK_ROWS), "style-blocks")
     above = blocks.where("path is not null").select("row", "seq", "host", F.explode(F.expr("transform(sequence(2, size(split(path, '>'))), i -> array_join(slice(split(path, '>'), 1, i), '>'))")).alias("path"))
-    cut = above.join(low, ["host", "path"], "left_semi").select("row", "seq").distinct()
+    unjudged = blocks.where("beside").join(low.where("path = ''"), "host", "left_anti").select("row", "seq")
+    cut = above.join(low, ["host", "path"], "left_semi").select("row", "seq").unionByName(unjudged).distinct()
     kept = blocks.join(cut, ["row", "seq"], "left_anti").groupBy("row").agg(
         F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts")
     )

@@ -41,6 +41,19 @@ def test_repeated_branches_are_cut_and_articles_stay(spark, broadcast_rows):
     assert got[90][0].startswith("Welcome to the site")
 
 
+@pytest.mark.parametrize("broadcast_rows", [300_000, -1])
+def test_the_tree_judges_inside_and_beside_marked_articles(spark, broadcast_rows):
+    notice = lambda i: (i, "http://a.org/p", f"<body><article><h1>Title {i}</h1><p>Body {i}</p><p>Read our <b>letter</b></p></article></body>")
+    beside = lambda i, host: (i, f"http://{host}/p", f"<body><div>Body {i}</div><div>Our site</div><article><p>Teaser {i}</p></article></body>")
+    again = lambda i: (i, "http://c.org/p", f"<body><article><p>Same story</p><p>Same end</p></article><div>Seen {i}</div></body>")
+    rows = [notice(i) for i in range(12)] + [beside(i, "b.org") for i in range(20, 32)] + [again(i) for i in range(40, 52)] + [beside(60, "lone.org")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows), broadcast_rows=broadcast_rows).collect()}
+    assert all(got[i] == f"Title {i}\n\nBody {i}" for i in range(12))
+    assert all(got[i] == f"Body {i}\n\nTeaser {i}" for i in range(20, 32))
+    assert all(got[i] == f"Same story\n\nSame end\n\nSeen {i}" for i in range(40, 52))
+    assert got[60] == "Teaser 60"
+
+
 @pytest.mark.parametrize("broadcast_rows", [300_000, -1])
 def test_hard_pages(spark, broadcast_rows):
     got = sorted(((r["page_id"], r["url"], r["text"]) for r in html_text.extract(pages(spark, HARD), broadcast_rows=broadcast_rows).collect()), key=str)
