@@ -140,7 +140,7 @@ def report(calls: DataFrame, functions: DataFrame, top: int = 10) -> str:
 def peel(calls: DataFrame, nodes: DataFrame, most_levels: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Kahn's levels of nodes (id) by calls, and the nodes that remain because they lie on or behind a cycle.
 
-    A node's level is the length of the longest path to it. One job per level."""
+    A node's level is the length of the longest path to it. One job per level; RuntimeError if most_levels do not end it."""
     e = cut(edges(calls).select("src", "dst").distinct())
     left, done = cut(nodes.select("id").distinct()), None
     for level in range(most_levels):
@@ -150,6 +150,9 @@ def peel(calls: DataFrame, nodes: DataFrame, most_levels: int = 10_000) -> tuple
         done = ready if done is None else done.unionByName(ready)
         left = cut(left.join(ready, "id", "left_anti"))
         e = cut(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
+    else:
+        if not left.join(e.select(F.col("dst").alias("id")), "id", "left_anti").isEmpty():
+            raise RuntimeError(f"the call graph has more than {most_levels} levels")
     if done is None:
         done = left.limit(0).withColumn("level", F.lit(0))
     return done, left

@@ -123,3 +123,9 @@ def test_leaves_and_roots_of_all_calls(spark, tmp_path):
     d, _ = call_tables(spark, tmp_path, [(1, 2), (2, 3)], range(1, 5))
     assert {r["id"] for r in catalogue.leaf_functions_all_calls(spark, d).collect()} == {1, 4}
     assert {r["id"] for r in catalogue.root_functions_all_calls(spark, d).collect()} == {3, 4}
+
+
+def test_too_many_levels_are_no_cycle(spark):
+    with pytest.raises(RuntimeError, match="levels"):
+        graph.peel(*tables(spark, TOPOLOGIES["linear"]), most_levels=3)
+    assert graph.peel(*tables(spark, TOPOLOGIES["linear"]), most_levels=4)[1].isEmpty()
