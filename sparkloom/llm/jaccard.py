@@ -27,8 +27,11 @@ at least ceil(t |x|) of its tokens in any partner, so at most tau = |x| - ceil(t
 
 Token counting works on blocks of packed hashes dealt by token, and counts distinct sets per token
 with numpy; blocks are cleared of repeats where they are made, so exact copies of a third of all
-rows cost one set per batch. The only broadcast is a bitmap of at most `bitmap_bits` bits, whose
-false positives only make step 2 count more sets.
+rows cost one set per batch. Blocks hold about `block_tokens` tokens at any size of the corpus. Tokens of
+`hot_sets` sets and more are not counted in a block: their frequency is estimated from one text in
+`hot_one_in`, and being hot only moves a token to the end of the order, which any function of the token may
+set. Broadcasts are these tokens (at most 10 000 times the mean size of a set) and a bitmap of at most
+`bitmap_bits` bits, whose false positives only make step 2 count more sets.
 
 Equal sets are told by a 64-bit hash and their size; at a billion distinct sets the chance of any
 one false match is below 1 in 1000.
@@ -55,9 +58,11 @@ _BYTES = np.random.default_rng(21).integers(1, 2**63, size=256, dtype=np.uint64)
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
 _BASE = 0x2545F4914F6CDD1D
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of text whose powers are kept; longer texts are hashed in parts.
+_PART = 1 << 18
 _POWERS: list[np.ndarray] = []
 
-SETS = "doc_id long, n_shingles long, n_low long, set_id long"
+SETS = "doc_id long, n_shingles long, n_low long, set_id long, hot binary"
 BLOCKS = "bucket int, sets binary, sizes binary, counts binary, tokens binary"
 
 
@@ -73,16 +78,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of _BASE and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << n.bit_length())
-        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    """At least the first n powers of _BASE and of its inverse modulo 2**64. Those of a part are kept; more, for a longer word, are not."""
+    make = lambda size: [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    if n > _PART + 1:
+        return make(n)
+    if not _POWERS:
+        _POWERS[:] = make(_PART + 1)
     return _POWERS
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word, in text order: a polynomial of its bytes' random values, from prefix sums."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8) if text else np.zeros(0, np.uint8)
+def hashes_of_part(raw: np.ndarray) -> np.ndarray:
+    """The hash of every word of a text's bytes: a polynomial of their random values, from prefix sums."""
     blank = np.concatenate(([True], _BLANK[raw], [True]))
     edge = np.flatnonzero(blank[1:] != blank[:-1])
     start, stop = edge[::2], edge[1::2]
@@ -94,6 +100,26 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mix((sums[stop] - sums[start]) * down[start])
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word, in text order. Long texts are cut at blanks into parts."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8) if text else np.zeros(0, np.uint8)
+    if len(raw) <= _PART:
+        return hashes_of_part(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + _PART, len(raw))
+        if end < len(raw):
+            before = np.flatnonzero(_BLANK[raw[at:end]])
+            if len(before):
+                end = at + int(before[-1]) + 1
+            else:
+                while end < len(raw) and not _BLANK[raw[end]]:
+                    end += 1
+        out.append(hashes_of_part(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles."""
     h = word_hashes(text)
@@ -117,20 +143,62 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
+def may_link(n, percent: int):
+    """Whether a set of n tokens can link with another than an equal set."""
+    return 100 * n >= percent * (n + 1)
+
+
 def low_part(tokens: np.ndarray, share: float) -> np.ndarray:
     """The sorted tokens in the lowest share of all hashes."""
     return tokens[: np.searchsorted(tokens, np.uint64(int(share * 2**64)))]
 
 
-def sets_of(documents: DataFrame, n: int, sampled: float) -> DataFrame:
-    """doc_id, n_shingles, how many of them are in the sampled part, and set_id (null for an empty set) of every row."""
+class Hot:
+    """Tokens that very many sets hold, sorted, and their estimated frequencies."""
+
+    def __init__(self, rows: list[tuple[int, int]] = ()):
+        rows = sorted((t % (1 << 64), df) for t, df in rows)
+        self.tokens, self.df = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32)
+
+    def at(self, tokens: np.ndarray) -> np.ndarray:
+        """A mask of the hot ones."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), bool)
+        return self.tokens[np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)] == tokens
+
+    @staticmethod
+    def of(documents: DataFrame, n: int, least: int, one_in: int) -> Hot:
+        """Tokens of about `least` sets and more, from one text in `one_in`, told by its hash; repeats count once a batch.
+
+        Which tokens are hot decides only where they are counted. No token can be where there are fewer rows."""
+        rows = documents.count()
+        if rows < least:
+            return Hot()
+        least = max(least, rows // 10_000)
+
+        def run(batches):
+            for b in batches:
+                sets = {set_id(x): x for t in b.column(1) if len(x := shingles(t.as_py(), n))}
+                tokens = np.concatenate([*sets.values(), np.zeros(0, np.uint64)]).astype(np.int64)
+                for i in range(0, len(tokens), 500_000):
+                    yield arrow_batch("token long", [(t,) for t in tokens[i : i + 500_000].tolist()])
+            trim_memory()
+
+        some = scan(documents, "doc_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+        counts = some.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= max(2, least // one_in))
+        return Hot([(t, min(c * one_in, 2**31 - 1)) for t, c in counts.toLocalIterator()])
+
+
+def sets_of(documents: DataFrame, n: int, sampled: float, hot) -> DataFrame:
+    """doc_id, n_shingles, how many of them are in the sampled part and not hot, set_id (null for an empty set) and hot tokens of every row."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(text.as_py(), n)
-                rows.append((doc_id, len(s), len(low_part(s, sampled)), set_id(s) if len(s) else None))
+                is_hot = hot.value.at(s)
+                rows.append((doc_id, len(s), len(low_part(s[~is_hot], sampled)), set_id(s) if len(s) else None, s[is_hot].tobytes() if is_hot.any() else None))
             yield arrow_batch(SETS, rows)
         trim_memory()
 
@@ -171,15 +239,13 @@ def pack(part: list[tuple[int, int, np.ndarray]], buckets: int):
     keys, sizes = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int32)
     owner, tokens = np.repeat(np.arange(len(part)), [len(p[2]) for p in part]), np.concatenate([p[2] for p in part])
     bucket = (tokens % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     bucket, owner, tokens = bucket[order], owner[order], tokens[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
     rows = []
-    for k in range(buckets):
-        a, z = cuts[k], cuts[k + 1]
-        if a < z:
-            who, counts = np.unique(owner[a:z], return_counts=True)
-            rows.append((k, keys[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int32).tobytes(), tokens[a:z].tobytes()))
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=False):
+        who, counts = np.unique(owner[a:z], return_counts=True)
+        rows.append((int(bucket[a]), keys[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int32).tobytes(), tokens[a:z].tobytes()))
     return arrow_batch(BLOCKS, rows)
 
 
@@ -220,9 +286,11 @@ def frequencies(table):
     """Per set of a bucket: its shared tokens and their frequencies."""
     tokens, keys, sizes, df = shared(table)
     trim_memory()
+    if not len(keys):
+        return arrow_table(FREQUENCIES, [])
     order = np.argsort(keys, kind="stable")
     tokens, keys, sizes, df = tokens[order], keys[order], sizes[order], df[order].astype(np.int32)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     rows = [(int(keys[a]), int(sizes[a]), tokens[a:z].tobytes(), df[a:z].tobytes()) for a, z in zip(first, [*first[1:], len(keys)], strict=True)]
     return arrow_table(FREQUENCIES, rows)
 
@@ -267,7 +335,7 @@ def signatures(n: int, tokens: np.ndarray, df: np.ndarray, percent: int, rare: i
     None if the tokens of frequency 1 alone make the prefix, or nothing but an equal set can link."""
     tau, alone = n - need(n, percent), n - len(tokens)
     want = tau + 1 - alone
-    if want <= 0 or n < 3:
+    if want <= 0 or not may_link(n, percent):
         return None
     n_rare = int(np.searchsorted(df, rare, side="right"))
     out = [mix(tokens[: min(want, n_rare)] ^ np.uint64(0x5851F42D4C957F2D))]
@@ -302,14 +370,17 @@ def classes_of(scheme: int, percent: int) -> int:
 CANDIDATES = "set_id long, n int, tokens binary, sigs array<long>"
 
 
-def candidates(merged: DataFrame, percent: int, rare: int) -> DataFrame:
-    """CANDIDATES from rows (set_id, n, tokens list, df list): sets that have signatures; tokens sorted by value."""
+def candidates(merged: DataFrame, percent: int, rare: int, hot) -> DataFrame:
+    """CANDIDATES from rows (set_id, n, tokens list, df list, hot tokens): sets that have signatures; tokens sorted by value."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for key, n, tokens, df in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, n, tokens, df, of_hot in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t, f = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(df), np.int32)
+                if of_hot:
+                    more = np.frombuffer(of_hot, np.uint64)
+                    t, f = np.concatenate((t, more)), np.concatenate((f, hot.value.df[np.searchsorted(hot.value.tokens, more)]))
                 order = np.lexsort((t, f))
                 sigs = signatures(n, t[order], f[order], percent, rare)
                 if sigs is not None and len(sigs):
@@ -347,11 +418,24 @@ def can_reach(percent: int, nx, sx, ny, sy):
 
 
 def with_partners(spread: DataFrame, percent: int) -> DataFrame:
-    """spread without rows that can't reach even the smallest set of their signature, and without lone rows."""
-    least = spread.groupBy("sig").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").select("sig", "least")
+    """spread without rows that can't reach even the smallest set of their signature, and without lone rows; m: the signature's sets."""
+    least = spread.groupBy("sig").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
     return spread.join(least, "sig").where((100 + percent) * F.col("s") >= percent * (F.col("n") + F.col("least"))).drop("least")
 
 
+#: The documents of a component are dealt over so many tasks.
+ROOT_SALTS = 16
+#: Rows of a key in one task at most, about, where a hot key is dealt over salts.
+SALT_ROWS = 256
+
+
+def to_pivots(now: DataFrame, pivots: DataFrame) -> DataFrame:
+    """now joined to its signatures' pivots; the rows of a frequent signature are dealt over salts."""
+    salts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
+    spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
+    return now.withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int")).join(spread, ["sig", "salt"])
+
+
 LINKS = "a long, b long"
 
 
@@ -429,29 +513,33 @@ def settle(now: DataFrame, sets: DataFrame, percent: int, block_sets: int = 256)
     return keyed.groupBy("g", "i", "j").applyInArrow(compare, LINKS)
 
 
-def linked_sets(sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
-    """set_id and root for sets that link with another one; None if there is no candidate."""
+def linked_sets(sets: DataFrame, percent: int, rounds: int, few: int = 4096) -> DataFrame | None:
+    """set_id and root for sets that link with another one; None if there is no candidate.
+
+    Pivots are tried for up to `rounds` rounds, while each leaves at most 7 of 10 signature rows open and more than `few`."""
     spread = sets.select("set_id", "n", (F.octet_length("tokens") / 8).cast("int").alias("s"), F.explode("sigs").alias("sig"))
     held = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("set_id") % (1 << 40)).alias("h"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("x"))
     busy = held.where("m > 1").groupBy("m", "h", "x").agg(F.min("sig").alias("sig")).select("sig")
     # written between the two: a sum right behind a join on its own key would keep a skewed join from being split
     spread, label = materialise(spread.join(busy, "sig"), "jaccard-shared-signatures"), None
     spread = materialise(with_partners(spread, percent), "jaccard-signatures")
+    before = None
     for k in range(rounds + 1):
         now = spread.withColumn("comp", F.col("set_id")) if label is None else spread.join(label, "set_id", "left").withColumn("comp", F.coalesce("root", "set_id")).drop("root")
         per = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
         now = materialise(now.join(per, "sig"), "jaccard-open")
-        if now.isEmpty():
+        is_open = now.count()
+        if not is_open:
             break
-        if k == rounds:
+        if last := k == rounds or is_open <= few or (before is not None and is_open > 0.7 * before):
             found = settle(now, sets, percent)
         else:
             central = F.struct(F.floor(-20 * F.col("s") / F.col("n")), F.xxhash64("set_id", F.lit(k)))
-            pivots = now.groupBy("sig").agg(F.min_by(F.struct(F.col("set_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb")), central).alias("p")).select("sig", "p.*")
-            pairs = now.select("sig", F.col("set_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa")).join(pivots, "sig")
+            pivots = now.groupBy("sig").agg(F.max("m").alias("m"), F.min_by(F.struct(F.col("set_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("s").alias("sb")), central).alias("p")).select("sig", "m", "p.*")
+            pairs = to_pivots(now.select("sig", "m", F.col("set_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("s").alias("sa")), pivots)
             pairs = pairs.where("ca <> cb").where(can_reach(percent, F.col("na"), F.col("sa"), F.col("nb"), F.col("sb")))
             found = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
-        found = materialise(found, "jaccard-links")
+        before, found = is_open, materialise(found, "jaccard-links")
         if label is not None:
             names = lambda x: label.select(F.col("set_id").alias(x), F.col("root").alias("r" + x))
             found = found.join(names("a"), "a", "left").join(names("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
@@ -462,34 +550,45 @@ def linked_sets(sets: DataFrame, percent: int, rounds: int) -> DataFrame | None:
             moved = label.select("set_id", F.col("root").alias("node")).join(root, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
             label = moved.unionByName(root.select(F.col("node").alias("set_id"), "root").join(label, "set_id", "left_anti"))
         label = materialise(label, "jaccard-labels")
+        if last:
+            break
     return label
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 75, sampled: float = 0.35, rare: int = 24, rounds: int = 1, block_tokens: int = 4_000_000, bitmap_bits: int = 1 << 29) -> DataFrame:
+def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 75, sampled: float = 0.35, rare: int = 24, rounds: int = 6, block_tokens: int = 4_000_000, bitmap_bits: int = 1 << 29, hot_sets: int = 200_000, hot_one_in: int = 256) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = documents.sparkSession
-    docs = materialise(sets_of(documents, n, sampled), "jaccard-sets")
-    reps = docs.where("n_shingles > 2").groupBy("set_id", "n_shingles", "n_low").agg(F.min("doc_id").alias("rep"))
+    hot = spark.sparkContext.broadcast(Hot.of(documents, n, hot_sets, hot_one_in))
+    docs = materialise(sets_of(documents, n, sampled, hot), "jaccard-sets")
+    reps = docs.where(may_link(F.col("n_shingles"), percent)).groupBy("set_id", "n_shingles", "n_low").agg(F.min("doc_id").alias("rep"))
     tokens = docs.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = lambda share: int(max(48, min(4096, tokens * share // block_tokens)))
-    low = blocks(documents, n, buckets(sampled), lambda s: low_part(s, sampled))
+    buckets = lambda share: int(max(48, min(1 << 30, tokens * share // block_tokens)))
+    cold = lambda s: s[~hot.value.at(s)]
+    low = blocks(documents, n, buckets(sampled), lambda s: low_part(cold(s), sampled))
     shared_by = low.groupBy("bucket").applyInArrow(shared_counts, "set_id long, n_shared long").groupBy("set_id").agg(F.sum("n_shared").alias("n_shared"))
     tau = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100)
     some = reps.join(shared_by, "set_id", "left").where(F.coalesce("n_shared", F.lit(0)) >= F.col("n_low") - tau)
     ids = materialise(some.select(F.col("rep").alias("doc_id")), "jaccard-sharing")
     bitmap = spark.sparkContext.broadcast(Bitmap.of(ids, bitmap_bits))
-    every = blocks(documents, n, buckets(1), lambda s: s, bitmap)
-    counted = every.groupBy("bucket").applyInArrow(frequencies, FREQUENCIES)
-    merged = counted.groupBy("set_id").agg(F.max("n").alias("n"), F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"))
-    sets = materialise(candidates(merged, percent, rare), "jaccard-candidates")
+    counted = blocks(documents, n, buckets(1), cold, bitmap).groupBy("bucket").applyInArrow(frequencies, FREQUENCIES)
+    if len(hot.value.tokens):
+        of_hot = docs.where("hot is not null").groupBy("set_id").agg(F.max("n_shingles").cast("int").alias("n"), F.max("hot").alias("hot"))
+        counted = counted.unionByName(of_hot, allowMissingColumns=True)
+    else:
+        counted = counted.withColumn("hot", F.lit(None).cast("binary"))
+    merged = counted.groupBy("set_id").agg(F.max("n").alias("n"), F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"), F.max("hot").alias("hot"))
+    sets = materialise(candidates(merged, percent, rare, hot), "jaccard-candidates")
     label = linked_sets(sets, percent, rounds)
-    keyed = docs.join(label, "set_id", "left") if label is not None else docs.withColumn("root", F.lit(None).cast("long"))
-    keyed = keyed.withColumn("root", F.coalesce("root", "set_id"))
-    lowest = keyed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("root", "low")
-    return keyed.join(lowest, "root", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+    keyed = docs.select("doc_id", "n_shingles", "set_id")
+    keyed = keyed.join(label, "set_id", "left") if label is not None else keyed.withColumn("root", F.lit(None).cast("long"))
+    keyed = keyed.withColumn("root", F.coalesce("root", "set_id")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(ROOT_SALTS)).cast("int"))
+    lowest = keyed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    lowest = lowest.select("root", "low", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
+    return keyed.join(lowest, ["root", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def op8_jaccard(spark, sf_dir):
+    """doc_id, n_shingles, component_id of every document; nulls, empty texts and ties as in near_duplicates."""
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -112,7 +112,7 @@ def test_thresholds_follow_the_group(spark):
 # Jaccard join
 
 
-def classes(texts, n=5):
+def classes(texts, n=5, percent=75):
     sets = []
     for _, x in texts:
         w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
@@ -126,7 +126,7 @@ def classes(texts, n=5):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 up[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(texts):
@@ -158,13 +158,39 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("params", [{}, {"rare": 2, "rounds": 0}])
+@pytest.mark.parametrize("params", [{}, {"rare": 2, "rounds": 0}, {"hot_sets": 8, "hot_one_in": 2, "rare": 2}])
 def test_components_against_brute_force(spark, seed, params):
     texts = corpus(seed) + [(None if i is None else i + 10_000, t) for i, t in HARD]
     got = jaccard.near_duplicates(docs(spark, texts), block_tokens=2000, **params)
     assert sorted(map(tuple, got.collect()), key=str) == classes(texts)
 
 
+@pytest.mark.parametrize(("count", "length"), [(1, 8), (5, 8), (50, 12), (20, 12), (0, 0)])
+def test_small_tables_of_unrelated_texts(spark, count, length):
+    """With default parameters: no token is shared at all, or by one linked pair only."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(length))) for i in range(count)]
+    if count == 20:
+        texts.append((99, texts[3][1] + " more"))
+    assert sorted(map(tuple, jaccard.near_duplicates(docs(spark, texts)).collect()), key=str) == classes(texts)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 90, 100])
+def test_other_similarities(spark, percent):
+    rng = np.random.default_rng(percent)
+    texts = [(i, " ".join(rng.choice(list("abcd"), int(rng.integers(1, 6))))) for i in range(60)] + corpus(4)[:60]
+    texts = [(i, t) for i, (_, t) in enumerate(texts)]
+    got = jaccard.near_duplicates(docs(spark, texts), n=2, percent=percent)
+    assert sorted(map(tuple, got.collect()), key=str) == classes(texts, 2, percent)
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 777}" for i in range(5000)) + " " + "z" * 3000 + " tail"
+    want = jaccard.word_hashes(text)
+    monkeypatch.setattr(jaccard, "_PART", 1000)
+    monkeypatch.setattr(jaccard, "_POWERS", [])
+    assert (jaccard.word_hashes(text) == want).all() and len(jaccard._POWERS[0]) == 1001
+
+
 def test_signatures_meet_for_every_linked_pair():
     """Of two sets at the limit, one signature is common whatever the frequencies are."""
     rng = np.random.default_rng(3)
