@@ -9,6 +9,7 @@ QUERIES = {
     "op2_brown_scores": brown.op2_brown_scores,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_token_rollups": rollups.op4_token_rollups,
+    "token_rollups_bpe": rollups.token_rollups_bpe,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op7_language_id": langid.op7_language_id,

@@ -140,14 +140,78 @@ def test_batches_are_committed_once(spark):
         r.commit("../x", first)
 
 
-def test_a_batch_without_its_marker_does_not_count(spark):
-    r = rollups.Rollup(spark, fresh_path(spark, "rollup"))
-    rollups.delta(changes(spark, [("a", "en", "v1", None, 5)])).write.parquet(f"{r.folder}/data/1-dead")
+def test_a_driver_that_dies_before_the_rename_loses_nothing(spark, monkeypatch):
+    r, batch = rollups.Rollup(spark, fresh_path(spark, "rollup")), changes(spark, [("a", "en", "v1", None, 5)])
+    with monkeypatch.context() as m:
+        m.setattr(rollups.Rollup, "_publish", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            r.commit("1", batch)
+        with pytest.raises(ZeroDivisionError):
+            r.compact()
     assert r.totals().count() == 0
-    assert r.commit("1", changes(spark, [("a", "en", "v1", None, 5)]))
+    assert r.commit("1", batch) and not r.commit("1", batch)
     assert r.totals().first()["n_tokens"] == 5
 
 
+def test_writers_at_once(spark, monkeypatch):
+    """A second commit of an id, a batch during a compaction and a second compaction count once."""
+    r, batch = rollups.Rollup(spark, fresh_path(spark, "rollup")), changes(spark, [("a", "en", "v1", None, 5)])
+    publish, done = rollups.Rollup._publish, []
+
+    def meanwhile(self, name, target):
+        if not done:
+            done.append(name)
+            other = rollups.Rollup(spark, r.folder)
+            if name.startswith("base"):
+                assert other.commit("late", batch) and other.compact()
+            else:
+                assert other.commit("1", batch)
+        return publish(self, name, target)
+
+    monkeypatch.setattr(rollups.Rollup, "_publish", meanwhile)
+    assert not r.commit("1", batch)
+    done.clear()
+    assert not r.compact()
+    assert r.totals().first()["n_tokens"] == 10
+    assert r.vacuum(-60) >= 2
+    assert r.totals().first()["n_tokens"] == 10
+    assert not r.commit("1", batch) and not r.commit("late", batch) and r.compact()
+    assert r.totals().first()["n_tokens"] == 10
+
+
+def test_repeated_texts(spark):
+    """Null and repeated ids: all rows of a repeated text, and the first of each by doc_id."""
+    rows = [(None, "t", "a", "en", 1)] * 3 + [(5, "t", "b", "en", 1), (5, "t", "b", "en", 1), (9, "t", "c", "fr", 1), (1, None, "a", None, 0), (2, "", "b", None, 0), (3, "x", "a", "en", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    every, first = (sorted((tuple(r) for r in x.collect()), key=str) for x in rollups.repeats(df, "source", "lang"))
+    assert every == sorted([(r[2], r[3]) for r in rows[:-1]], key=str)
+    assert first == sorted([("b", "en"), ("a", None)], key=str)
+
+
+def test_rollup_sql_and_tokenizer(spark, tmp_path):
+    """The query against its SQL, and the tokenizer's totals against the tokenizer, with null and repeated ids."""
+    import duckdb
+    from tokenizers import Tokenizer
+
+    from sparkloom.llm import packing
+
+    rows = [(1, "b c", "s", "en", 3), (2, None, None, None, None), (3, "", "s", None, 0), (None, "It's naïve…", "s", "fr", 9), (None, "x", "s", "fr", 1), (7, "b c", "s", "en", 3), (7, "b c", "s", "en", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["source", "lang", "tokenizer", "n_docs", "n_tokens"]
+    want = sorted(db.execute(f"SELECT {', '.join(columns)} FROM ({rollups.OP4_SQL})").fetchall(), key=str)
+    assert sorted((tuple(r) for r in rollups.op4_token_rollups(spark, str(tmp_path)).select(*columns).collect()), key=str) == want
+    tok, sums = Tokenizer.from_file(packing.default_tokenizer()), {}
+    for _, t, source, lang, _ in rows:
+        n = sums.setdefault((source, lang), [0, 0])
+        n[0] += 1
+        n[1] += len(tok.encode(t or "", add_special_tokens=False).ids)
+    got = {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"]] for r in rollups.token_rollups_bpe(spark, str(tmp_path)).collect()}
+    assert got == sums
+
+
 # Pipeline
 
 
