@@ -102,7 +102,10 @@ def hashes_of_part(raw: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of every word, in text order. Long texts are cut at blanks into parts."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8) if text else np.zeros(0, np.uint8)
+    return hashes_of_bytes(np.frombuffer(text.encode("utf-8", "replace") if text else b"", np.uint8))
+
+
+def hashes_of_bytes(raw: np.ndarray) -> np.ndarray:
     if len(raw) <= _PART:
         return hashes_of_part(raw)
     out, at = [], 0

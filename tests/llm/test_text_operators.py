@@ -56,6 +56,29 @@ def test_contamination_against_brute_force(spark, block_bytes):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_an_index_is_bounded_by_its_text():
+    text = " ".join(f"word{i % 4001}" for i in range(50_000))
+    index = decontamination.WindowIndex([("a", text), ("b", "x y"), ("c", None)], 10)
+    assert index.nbytes < 6 * len(text)
+    assert decontamination.WindowIndex([("a", "a " * 50_000)], 10).nbytes < 20 * 100_000
+    mask, items = index.find(decontamination.normalised("X, y! word1 word2"))
+    assert (mask.tolist(), items) == ([True, True, False, False], {"b"})
+
+
+def test_sql_of_decontamination(spark, tmp_path):
+    import duckdb
+
+    texts = [*HARD[:5], (20, "so THE quick, brown fox jumps over the lazy dog again and again! b c d"), (22, "é x w1 w2 w3 w4")]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([i for i in ITEMS if i[0] is not None], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.execute(decontamination.OP10_SQL).fetchall()
+    got = decontamination.op10_decontamination(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_spans_are_removed(spark):
     bench = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in decontamination.remove_spans(docs(spark, [(1, "A, b c; D e"), (2, "x"), (3, None)]), bench).collect()}
