@@ -3,9 +3,12 @@
 Four rates of every text - mean word length, symbols per word, share of repeated lines, share of
 words in repeated 3-word windows - are summarised by KLL quantile sketches per language and source.
 Sketches merge, so the language's and the corpus's are merged from the groups' and serve groups
-with too few rows. A group's limits for a rate are its quartiles widened by `width` interquartile
-ranges, or by a least slack where the group hardly varies; the limits are joined back and a text is
-kept if every rate lies within them. The fixed base rule (too short, mostly repetition) stays
+with too few rows. A rate's limits in a group come from its quantiles alone: the median and the quantile
+of the rate's rank in TAILS (the share of texts taken to be sound on that side) give a spread, and the
+limit lies `width` spreads beyond that quantile. Word length has a lower limit too, from the mirrored
+rank. Where nine texts of ten have no symbol, say, the limit is none: it follows the group even there,
+and no cutoff is written down. The limits are joined back and a text is kept if every rate lies within
+them. The fixed base rule (too short, mostly repetition) stays
 apart: its failures neither feed the sketches nor pass.
 
 The sketches are combined before the shuffle and are of bounded size, so one source with a third
@@ -28,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, materialise
 
 SYMBOLS = "#*$%&|<>"
-RATES = {"word_length": 0.8, "symbol_rate": 0.1, "line_repeat": 0.35, "window_repeat": 0.35}  # rate: least slack
+#: Rate: the rank of its outer quantile. Lines and windows repeat in few sound texts, whose tail lies further out.
+TAILS = {"word_length": 0.9, "symbol_rate": 0.9, "line_repeat": 0.98, "window_repeat": 0.98}
+#: The rates with a lower limit as well.
+TWO_SIDED = ("word_length",)
 
 
 def measures(documents: DataFrame) -> DataFrame:
@@ -82,23 +88,25 @@ def rates() -> dict[str, Column]:
     }
 
 
-def limits(measured: DataFrame, width: float = 3.0, k: int = 400, min_rows: int = 100) -> DataFrame:
+def limits(measured: DataFrame, width: float = 3.0, k: int = 400, min_rows: int = 100, tails: dict[str, float] | None = None) -> DataFrame:
     """lang, source and low_/high_ of every rate, from merged sketches of the texts that pass the base rule."""
+    tails = tails or TAILS
     passed = measured.where(~base_failed()).select("lang", "source", *(c.alias(n) for n, c in rates().items()))
-    groups = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(n, F.lit(k)).alias(n) for n in RATES))
+    groups = passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(n, F.lit(k)).alias(n) for n in tails))
     groups = materialise(groups, "quality-sketches")
     if groups.isEmpty():
-        return groups.select("lang", "source", *(F.lit(None).cast("double").alias(f"{side}_{n}") for n in RATES for side in ("low", "high")))
-    merged = lambda *by: groups.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(n, F.lit(k)).alias(n) for n in RATES))
-    quartiles = lambda sketch: [F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75)]
-    every = merged().select(*(c.alias(f"{name}{i}") for name in RATES for i, c in enumerate(quartiles(F.col(name))))).first()
+        return groups.select("lang", "source", *(F.lit(None).cast("double").alias(f"{side}_{n}") for n in tails for side in ("low", "high")))
+    merged = lambda *by: groups.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(n, F.lit(k)).alias(n) for n in tails))
+    ranks = lambda name: (1 - tails[name], 0.5, tails[name])
+    quantiles = lambda name, sketch: [F.kll_sketch_get_quantile_double(sketch, F.lit(round(q, 6))) for q in ranks(name)]
+    every = merged().select(*(c.alias(f"{name}{i}") for name in tails for i, c in enumerate(quantiles(name, F.col(name))))).first()
     out = groups.alias("g").join(merged("lang").alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")))
     columns = []
-    for name, slack in RATES.items():
-        own, wide = quartiles(F.col(f"g.{name}")), quartiles(F.col(f"l.{name}"))
-        low, high = (F.when(F.col("g.n") >= min_rows, own[i]).when(F.col("l.n") >= min_rows, wide[i]).otherwise(F.lit(every[f"{name}{i}"]).cast("double")) for i in (0, 1))
-        spread = F.greatest((high - low) * width, F.lit(slack))
-        columns += [(low - spread).alias(f"low_{name}"), (high + spread).alias(f"high_{name}")]
+    for name in tails:
+        own, wide = quantiles(name, F.col(f"g.{name}")), quantiles(name, F.col(f"l.{name}"))
+        low, middle, high = (F.when(F.col("g.n") >= min_rows, own[i]).when(F.col("l.n") >= min_rows, wide[i]).otherwise(F.lit(every[f"{name}{i}"]).cast("double")) for i in range(3))
+        least = low - width * (middle - low) if name in TWO_SIDED else F.lit(0.0)
+        columns += [least.alias(f"low_{name}"), (high + width * (high - middle)).alias(f"high_{name}")]
     return out.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), *columns)
 
 
@@ -119,6 +127,7 @@ def filter_quality(documents: DataFrame, **params) -> DataFrame:
 
 
 def op6_quality(spark, sf_dir):
+    """The measures, base_failed and kept of every document; nulls, empty texts and ties as stated above."""
     from .common import table
 
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -132,6 +133,47 @@ def test_thresholds_follow_the_group(spark):
     assert (kept[5000], kept[5001], kept[5002]) == (False, False, True)
 
 
+def test_kept_against_exact_quantiles(spark):
+    """Groups of fewer rows than k have exact sketches: limits by sorting, group by group, with small groups merged."""
+    rng, rows = np.random.default_rng(8), []
+    for lang, source, n, size in (("en", "a", 160, 4), ("en", "b", 120, 6), ("en", "c", 9, 5), ("de", "a", 30, 9), (None, "a", 5, 4)):
+        for _ in range(n):
+            words = ["".join(rng.choice(list("abcdef"), max(1, int(rng.normal(size, 1.5))))) for _ in range(60)]
+            if rng.random() < 0.2:
+                words += ["x#", "$"] * int(rng.integers(1, 4))
+            if rng.random() < 0.15:
+                words += words[:3] * int(rng.integers(1, 12))
+            text = " ".join(words) + "\nsame line\n" * int(rng.integers(0, 3) * (rng.random() < 0.2))
+            rows.append((len(rows), text + (" longer" + "y" * 300 if rng.random() < 0.05 else ""), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    at, of_group, of_lang, every = {}, collections.defaultdict(list), collections.defaultdict(list), []
+    for i, text, lang, source in rows:
+        n, chars, symbols, dup, repeat = measured(text)
+        lines = sum(bool(x.strip()) for x in text.split("\n"))
+        at[i] = (n < 50 or 100 * repeat > 50 * n, (chars / n, symbols / n, dup / lines, repeat / n))
+        if not at[i][0]:
+            for part in (of_group[lang, source], of_lang[lang], every):
+                part.append(at[i][1])
+
+    def quantile(values, q):
+        return sorted(values)[max(0, math.ceil(round(q * len(values), 6)) - 1)]
+
+    want, used = {}, set()
+    for i, _, lang, source in rows:
+        failed, own = at[i]
+        part = next((p for p in (of_group[lang, source], of_lang[lang]) if len(p) >= 100), every)
+        ok = not failed
+        for k, (name, q) in enumerate(quality.TAILS.items()):
+            low, middle, high = (quantile([v[k] for v in part], x) for x in (1 - q, 0.5, q))
+            least = low - 3 * (middle - low) if name == "word_length" else 0
+            used.add((lang, source, name, high + 3 * (high - middle)))
+            ok = ok and least <= own[k] <= high + 3 * (high - middle)
+        want[i] = ok
+    got = {r["doc_id"]: r["kept"] for r in quality.filter_quality(df).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+    assert all(len({h for *_, name, h in used if name == n}) > 1 for n in quality.TAILS)
+
+
 # Jaccard join
 
 
