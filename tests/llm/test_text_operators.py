@@ -143,7 +143,7 @@ def test_kept_against_exact_quantiles(spark):
                 words += ["x#", "$"] * int(rng.integers(1, 4))
             if rng.random() < 0.15:
                 words += words[:3] * int(rng.integers(1, 12))
-            text = " ".join(words) + "\nsame line\n" * int(rng.integers(0, 3) * (rng.random() < 0.2))
+            text = " ".join(words) + "\nsame line\n" * int(rng.integers(0, size) * (rng.random() < 0.2))
             rows.append((len(rows), text + (" longer" + "y" * 300 if rng.random() < 0.05 else ""), lang, source))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     at, of_group, of_lang, every = {}, collections.defaultdict(list), collections.defaultdict(list), []
