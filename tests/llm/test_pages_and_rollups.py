@@ -26,11 +26,100 @@ HARD = [(1, None, None), (2, "http://h/a", ""), (3, "not a url", "<p>plain"), (3
 def test_article_text():
     assert "\n\n".join(b[1] for b in html_text.candidates(html_text.Page(ARTICLE))) == TEXT
     assert html_text.host_of("HTTP://u@Ex.com:80/a") == "ex.com"
-    assert html_text.words_of("has-sidebar siteNav no-ads") == ["site", "nav"]
+    assert html_text.words_of("siteNav no-ads") == ["site", "nav", "no", "ads"]
+    assert [html_text.cuts(x)[0] for x in ("sidebar-left", "adBox", "has-sidebar", "social-science", "copyright-law", "entry-header", "header-image")] == [True, True, *[False] * 5]
     page = html_text.Page('<body class="with-sidebar"><div id="content" class="no-sidebar"><h1>A</h1>b<div class="sidebar">c</div></div><div role="search">d</div>')
     assert [b[1] for b in html_text.candidates(page)] == ["A", "b"]
 
 
+MARKED = "<article><h1>T</h1><p>text</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<p title="a hidden gem">text</p>', ["text"]),
+        ("<p title='class=ad id=nav'>text</p>", ["text"]),
+        (f'<div class="layout sidebar-left">{MARKED}<div class="sidebar">s</div></div>', ["T", "text"]),
+        (f'<div id="page" class="header-image">{MARKED}</div>', ["T", "text"]),
+        (f'<div class="social-science">{MARKED}</div>', ["T", "text"]),
+        (f'<div class="copyright-law">{MARKED}</div>', ["T", "text"]),
+        (f'<section class="search results">{MARKED}</section>', ["T", "text"]),
+        (f'<div class="alert">{MARKED}</div>', ["T", "text"]),
+        ('<div class="alert"><p>all the text there is</p></div><div class="alert">no</div>', ["all the text there is"]),
+        ('<section id="comments"><article>nice</article></section><article>a</article>', ["a"]),
+        ('<article><header class="entry-header"><h1>T</h1></header><p>text</p></article>', ["T", "text"]),
+        ('<article><header><h1>T</h1></header><p>text</p></article>', ["T", "text"]),
+        ("<div role='main'>a</div><p>b</p>", ["a", "b"]),
+        ('<div data-role="main">a</div><p>b</p>', ["a", "b"]),
+        ("<!--><p>a</p><!---><p>b</p><!-- x --!><p>c</p>", ["a", "b", "c"]),
+        ("<p>one <button>no</button>two <img alt='hidden'>three <script>x()</script>four</p>", ["one two three four"]),
+        ("<p>one <button><div>no</button> two <svg><g><text>no</svg> three</p><p>b", ["one two three", "b"]),
+        ('<article>a<p>b <meta itemprop="x">c</p></article><article class="related-post">no</article><main class="sidebar-left">d</main>', ["a", "b c", "d"]),
+        ("<p>a<hr>b<p hidden>c</p><p aria-hidden='true'>d</p><p style='display: none'>e</p>", ["a", "b"]),
+    ],
+)
+def test_names_and_attributes(source, want):
+    assert [b[1] for b in html_text.Page(source).blocks] == want
+
+
+def test_marks_of_the_main_part():
+    assert html_text.Page("<div role='main'>a</div>").has_main and html_text.Page('<div role="MAIN">a</div>').has_main
+    assert not html_text.Page('<div data-role="main" title="role=main">a</div>').has_main
+
+
+def tree_importance(pages, gamma=0.9):
+    """Composite importance of one host's nodes by recursion, from (blocks, shapes) of its distinct pages."""
+    import math
+    from collections import Counter, defaultdict
+
+    m, blocks, styles = len(pages), defaultdict(Counter), defaultdict(Counter)
+    for p in pages:
+        for path, text in {(path, text) for path, text, _ in p.blocks}:
+            blocks[path][text] += 1
+        for path, kids in {(path, kids) for path, kids in p.shapes if kids}:
+            styles[path][kids] += 1
+
+    def content(path):
+        return 1 - sum(math.log(c) / math.log(m) for c in blocks[path].values()) / len(blocks[path])
+
+    def of(path):
+        s = styles[path]
+        n = sum(s.values())
+        node = -sum(c / n * math.log(c / n, n) for c in s.values()) if n > 1 else 1
+        if set(s) == {"#"}:
+            return content(path)
+        below = 0
+        for kids, c in s.items():
+            parts = [content(path) if k == "#" else of(f"{path}>{k}") if f"{path}>{k}" in styles else 0 for k in kids.split(",")]
+            below += c / n * sum(parts) / len(parts)
+        return (1 - gamma ** len(s)) * node + gamma ** len(s) * below
+
+    return {path: of(path) for path in styles if path}
+
+
+def test_importance_goes_up_level_by_level(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(4), []
+
+    def part(depth):
+        if depth == 3 or rng.random() < 0.3:
+            return "".join(f"<p>{rng.choice(['same', 'often', f'x{rng.random()}'])}</p>" for _ in range(rng.randint(1, 3)))
+        return rng.choice(["", "own text"]) + "".join(f"<div class={rng.choice('abc')}>{part(depth + 1)}</div>" for _ in range(rng.randint(1, 2)))
+
+    rows = [(i, "http://h/x", part(0)) for i in range(30)]
+    want = tree_importance([html_text.Page(h) for h in dict.fromkeys(r[2] for r in rows)])
+    per = html_text.statistics(pages(spark, rows)).distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"), F.first("kids").alias("kids"))
+    m = len({r[2] for r in rows})
+    content = per.where("kind = 0").groupBy("host", "path").agg((1 - F.avg(F.log("c") / F.log(F.lit(m)))).alias("content"))
+    got = {r["path"]: r["importance"] for r in html_text.composite(per.where("kind = 1"), content, 0.9).collect()}
+    assert got.keys() == want.keys() and len(want) > 8
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 @pytest.mark.parametrize("broadcast_rows", [300_000, -1])
 def test_repeated_branches_are_cut_and_articles_stay(spark, broadcast_rows):
     site = lambda i: (i, "http://site.org/p", f"<body><div class='top'><p>Welcome to the site</p></div><div class='story'><p>Story {i} is about {i * 7}</p><p>It goes on {i}</p></div><div class='end'><p>All rights</p></div></body>")
