@@ -31,7 +31,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, arrow_batch, fresh_path, scan, table, trim_memory
+from .common import BLANKS, arrow_batch, fresh_path, materialise, scan, table, trim_memory
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -147,9 +147,10 @@ class Rollup:
 def repeats(docs: DataFrame, *columns: str, salts: int = 16) -> tuple[DataFrame, DataFrame]:
     """The columns of every row whose text others have too, and of the one row of each such text that comes first:
     by doc_id, nulls last, then by the columns. Firsts are combined before the shuffle; the rows of a text are
-    dealt over salts to meet theirs."""
+    dealt over salts to meet theirs. Texts are read once; their digests are written."""
     key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    light = docs.select(key.alias("key"), F.pmod(F.xxhash64("doc_id", *columns), F.lit(salts)).cast("int").alias("salt"), F.struct(F.col("doc_id").isNull(), "doc_id", *columns).alias("place"), *columns)
+    light = materialise(docs.select(key.alias("key"), "doc_id", *columns), "rollup-texts")
+    light = light.select("key", F.pmod(F.xxhash64("doc_id", *columns), F.lit(salts)).cast("int").alias("salt"), F.struct(F.col("doc_id").isNull(), "doc_id", *columns).alias("place"), *columns)
     first = light.groupBy("key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     keys = first.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return light.join(keys, ["key", "salt"]).select(*columns), first.select(*(F.col("place")[c].alias(c) for c in columns))
