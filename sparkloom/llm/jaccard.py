@@ -492,8 +492,8 @@ def settle(now: DataFrame, sets: DataFrame, percent: int, block_sets: int = 256)
     The sets that hang together by signatures are a cluster. Small clusters share tasks; a larger
     one is dealt into blocks, and every pair of blocks is compared in a task of its own."""
     spark = sets.sparkSession
-    heads = now.groupBy("sig").agg(F.min("set_id").alias("b"))
-    cluster = components(now.join(heads, "sig").select(F.col("set_id").alias("a"), "b"), "jaccard-clusters").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
+    heads = now.groupBy("sig").agg(F.max("m").alias("m"), F.min("set_id").alias("b"))
+    cluster = components(to_pivots(now.select("sig", "m", F.col("set_id").alias("a")), heads).select("a", "b"), "jaccard-clusters").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
     sizes = cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("int").alias("blocks"))
     groups = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = now.select("set_id", "comp").distinct().join(cluster, "set_id").join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
