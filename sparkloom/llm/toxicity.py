@@ -6,8 +6,9 @@ whose label is not used (unlabelled). With the class prior pi, the risk is
     pi * E_p[l(+)] + max(0, E_u[l(-)] - pi * E_p[l(-)])
 
 and where the second part falls below zero, the step goes up its gradient, which keeps a flexible
-classifier from driving the corrected risk negative. pi is the share of toxic rows among the
-training labels.
+classifier from driving the corrected risk negative. pi is the share of toxic rows among all
+documents; where `prior` does not give it, it is taken to be that among the training labels, as if
+these had been drawn at random.
 
 Features are presences, told by 32-bit hashes ("places"): every distinct word (runs of letters, lower-cased)
 and its first 4 and 5 letters where it is longer, so that inflected and compound forms share
@@ -165,7 +166,7 @@ def lowest(ids: DataFrame, n: int) -> DataFrame:
 
 
 def draw(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
-    """Features of the texts of at most n ids, one of a group of copies; made on the executors.
+    """Features of at most n texts of the ids, those of the lowest hash, one of a group of copies; made on the executors.
 
     The ids, bounded by n, are broadcast, so that the texts are filtered where they are read."""
     ddl = "place long, places array<long>, sketch array<long>"
@@ -178,18 +179,18 @@ def draw(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
         trim_memory()
 
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("place"), "text")
-    rows = picked.mapInArrow(featurize, ddl).limit(2 * n).toLocalIterator()
-    return first_of_copies(sorted(((r[0], np.array(r[1], dtype=np.uint32), r[2]) for r in rows), key=lambda r: (r[0], len(r[1]))))
+    rows = picked.mapInArrow(featurize, ddl).dropDuplicates(["place"]).orderBy("place").limit(n).toLocalIterator()
+    return first_of_copies([(r[0], np.array(r[1], dtype=np.uint32), r[2]) for r in rows])
 
 
-def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 12_000, **params) -> Model | None:
-    """The model from training labels and texts; None where no training label is toxic."""
+def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 12_000, prior: float | None = None, **params) -> Model | None:
+    """The model from training labels and texts; None where no training label is toxic. prior: the toxic share of all documents."""
     keep = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~is_held_out(F.col("doc_id")))
     keep = keep.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = keep.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic:
         return None
-    prior = min(max(n_toxic / n, 1e-4), 0.9)
+    prior = min(max(n_toxic / n if prior is None else prior, 1e-4), 0.9)
     docs = scan(documents, "doc_id", "text").where("text is not null and doc_id is not null")
     p = draw(docs, lowest(keep.where("toxic = 1"), positives), positives)
     u = draw(docs, lowest(docs.where(~is_held_out(F.col("doc_id"))), unlabelled), unlabelled)
@@ -221,6 +222,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **
 
 
 def op3_toxicity(spark, sf_dir):
+    """doc_id, held_out, score, predicted of every document; nulls, empty and long texts as stated above."""
     from .common import table
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -111,7 +111,7 @@ def test_held_out_labels_are_not_read(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("share", [0.1, 0.3, 0.5])
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
 def test_toxic_words_are_learnt_at_any_share(share):
     rng = np.random.default_rng(7)
     plain, toxic = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)], [f"{chr(97 + i)}bad" for i in range(10)]
@@ -129,6 +129,26 @@ def test_toxic_words_are_learnt_at_any_share(share):
     assert (scores[True] >= 0.7).mean() > 0.95 and (scores[False] >= 0.7).mean() < 0.05
 
 
+def test_samples_of_repeated_ids_are_the_same_each_time(spark):
+    """Many texts share an id: the bound takes those of the lowest hash, whatever the partitions."""
+    df = docs(spark, [(i % 3, f"w{i} a b c d e f {i * 7}", "en") for i in range(300)] + [(1, "same x y", "en")] * 50)
+    ids = df.select("doc_id").distinct()
+    a, b = ([x.tolist() for x in toxicity.draw(d, ids, 40)] for d in (df.repartition(2), df.repartition(5)))
+    assert a == b and 0 < len(a) <= 40
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.5])
+def test_held_out_recall_at_other_shares(spark, share):
+    """Every label given, a share of them toxic: nearly all held-out toxic rows are found and no other."""
+    rng = np.random.default_rng(11)
+    rows = [(i, t + (" " + " ".join(rng.choice(["idiot", "moron", "trash", "scum"], 3)) if rng.random() < share else ""), lang) for i, t, lang in made(900, 5)]
+    labels = [(i, int(bool(re.search("idiot|moron|trash|scum", t)))) for i, t, _ in rows]
+    got = toxicity.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    truth = dict(labels)
+    held = [(truth[r["doc_id"]], r["predicted"]) for r in got if r["held_out"]]
+    assert np.mean([p for y, p in held if y]) > 0.9 and np.mean([p for y, p in held if not y]) < 0.03
+
+
 def test_copies_are_learnt_from_once():
     t = toxicity.sketch_of("a b c d e f g h i j k l m n o p")
     rows = [(0, np.array([1]), t), (1, np.array([1]), t), (2, np.array([2]), toxicity.sketch_of("q r s t u v"))]
