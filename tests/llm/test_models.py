@@ -54,10 +54,35 @@ def test_fast_inference_equals_the_plain_one():
     rng = np.random.default_rng(1)
     net, x = langid.BiGRU(8, 4), rng.integers(0, 256, (48, 20)).astype(np.int16)
     x[30:, 3] = 256
+    counts = (x < 256).astype(np.float32)
+    counts[:9, 5] = 0
     logits = np.concatenate((net.direction("f", x), net.direction("b", x)), axis=2) @ net.p["V"] + net.p["c"]
     p = np.exp(logits - logits.max(axis=2, keepdims=True))
-    p = p / p.sum(axis=2, keepdims=True) * (x < 256)[..., None]
-    assert np.abs(p.sum(axis=0).T - net.segment_sums(x)).max() < 1e-4
+    p = p / p.sum(axis=2, keepdims=True) * counts[..., None]
+    assert np.abs(p.sum(axis=0).T - net.segment_sums(x, counts)).max() < 1e-4
+
+
+def test_segments_give_the_unbroken_network(monkeypatch):
+    """Probabilities of long texts, with segments that end within characters, against one run over all bytes."""
+    texts = [t for _, t, _ in made(40, 2)]
+    x = np.concatenate([langid.stretches(t, 6) for t in texts])
+    y = np.repeat([i % 2 for i in range(40)], [len(langid.stretches(t, 6)) for t in texts])
+    net = langid.train(x, y, 2, steps=80)
+    long = [" ".join(texts[:12]), texts[1], "é", " ".join(texts[1::2]) + " the end", "é " * 700]
+    whole = langid.pooled(net, long, None)
+    for i, t in enumerate(long):
+        raw = langid.raw_of(t).astype(np.int16)[:, None]
+        logits = np.concatenate((net.direction("f", raw), net.direction("b", raw)), axis=2) @ net.p["V"] + net.p["c"]
+        p = np.exp(logits - logits.max(axis=2, keepdims=True))
+        assert (p / p.sum(axis=2, keepdims=True)).mean(axis=(0, 1)) == pytest.approx(whole[i], abs=1e-4)
+    monkeypatch.setattr(langid, "CELLS", 3000)
+    assert np.abs(langid.pooled(net, long) - whole).max() < 1e-5
+    assert np.abs(langid.pooled(net, long[1:], 300, 100) - whole[1:]).max() < 0.005
+
+
+def test_letters_are_unicode_letters(spark):
+    assert [langid.has_letter(x) for x in ("²½① 12_", "ⅷ", "x", "…é", "中")] == [False, False, True, True, True]
+    assert (np.diff(langid.stretches("é" * 500, 5)[:, :2]) < 0).all()
 
 
 def test_language_accuracy_and_hard_rows(spark):
