@@ -1,20 +1,29 @@
 """Language-model scores by Brown class-based bigrams.
 
-A word's probability is P(class | previous class) * P(word | class). Classes come from exchange
-clustering: units move, one at a time, to the class that raises the likelihood of the training
-bigrams of classes most, until nothing moves. Units are the `head_units` most frequent words, each
-by itself, and `pools` groups of all other words, dealt by a hash of their last bytes; a word that
-was never seen belongs to its pool as well, so every word has a class. The end of a text is a class
-of its own and precedes the first word.
-
-What is gathered: word counts over all training documents (a distributed sum by word), bigram
-counts of units (at most (head_units + pools + 1)**2 sums, which the driver clusters), and token
-and type counts of the classes. Transitions are smoothed by class frequencies, emissions by 0.1 for
-each type and one unseen type: (c + 0.1) / (N_class + 0.1 (V_class + 1)).
-
-Scoring reads every text once. Words among the `head_words` most frequent are looked up in a
-broadcast of that bound; all others, which are rare by definition and so cannot make one hot key,
-go to a join with the table of counts and come back as sums per document.
+A word's probability is P(class | class of the previous word) * P(word | class). Classes come from
+exchange clustering, which moves a word to the class that raises the likelihood of the training bigrams
+of classes most:
+
+1. Units move, one at a time, until nothing moves. Units are the `head_units` most frequent words, each by
+   itself, and `pools` groups of all other words, dealt by a hash of their last bytes.
+2. Each of the next words, `head_words` in all, moves by its own bigrams: left and right neighbours' classes
+   are counted over all training texts, and it takes the class of the greatest gain to first order.
+3. Every other word of at least `least_count` occurrences moves alike by its left neighbours. Rarer and unseen
+   words belong to their pool's class. As the condition of the next word, words of this step count as of
+   their pool, so that texts are read without looking them up.
+
+The end of a text is a class of its own and precedes the first word. Transitions are counted over all
+training texts with the final classes and smoothed by class frequencies; emissions by 0.1 for each type and
+one unseen type: (c + 0.1) / (N_class + 0.1 (V_class + 1)).
+
+What is gathered: word counts and classes of all training words (distributed tables, which grow with the
+vocabulary), bigram counts of units (at most (head_units + pools + 1)**2 sums, which the driver clusters),
+class contexts of the words of step 2 (at most 2 * (classes + 1) sums for each, judged on the executors),
+and token and type counts of the classes.
+
+Scoring reads every text once. Words of steps 1 and 2 are looked up in a broadcast bounded by head_words;
+all others, which are rare by definition and so cannot make one hot key, go to a join with their table, with
+the classes before them, and come back as sums per document.
 
 Edge cases: null and empty texts are one end token; null ids are trained on and not held out;
 repeated rows are scored each; without training rows every probability but the smoothing's is the
@@ -24,13 +33,15 @@ unseen type's, so the base score is 0; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, arrow_batch, crc_of_id, materialise, scan
+from .common import LOWER_BYTES, arrow_batch, crc_of_id, materialise, scan, trim_memory
 
 ALPHA = 0.1
 COUNTS = "word binary, c long"
@@ -45,35 +56,38 @@ def pool_of(word: bytes, pools: int) -> int:
 
 
 class Classes:
-    """The class of every word: by unit for head words, else by the pool of its ending."""
-
-    def __init__(self, head: dict[bytes, int], pools: list[int]):
-        self.head, self.pools, self.endings = head, pools, {}
-
-    def of(self, words: list[bytes]) -> list[int]:
-        get, endings, out = self.head.get, self.endings, []
-        for w in words:
-            c = get(w)
-            if c is None:
-                e = w[-3:]
-                c = endings.get(e)
-                if c is None:
-                    if len(endings) > 200_000:
-                        endings.clear()
-                    c = endings[e] = self.pools[pool_of(w, len(self.pools))]
-            out.append(c)
-        return out
+    """The class of every word as a condition: of frequent words by rank, of all others by the pool of their ending."""
+
+    def __init__(self, rank: dict[bytes, int], of_rank: list[int], pools: list[int]):
+        self.rank, self.of_rank, self.pools, self.endings = rank, np.array(of_rank, dtype=np.int64), pools, {}
+
+    def pool(self, word: bytes) -> int:
+        e = word[-3:]
+        c = self.endings.get(e)
+        if c is None:
+            if len(self.endings) > 200_000:
+                self.endings.clear()
+            c = self.endings[e] = self.pools[pool_of(word, len(self.pools))]
+        return c
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Class and rank (-1: not frequent) of every word."""
+        rank = np.fromiter(map(self.rank.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        out = self.of_rank[rank] if len(self.of_rank) else np.zeros(len(words), dtype=np.int64)
+        for i in np.flatnonzero(rank < 0).tolist():
+            out[i] = self.pool(words[i])
+        return out, rank
 
 
 def xlogx(a: np.ndarray) -> np.ndarray:
     return a * np.log(np.maximum(a, 1e-300))
 
 
-def exchange(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, units: int, classes: int, fixed: int, sweeps: int = 12) -> np.ndarray:
+def exchange(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, units: int, classes: int, fixed: int, sweeps: int = 200) -> np.ndarray:
     """Class of every unit from counts n of bigrams (rows, cols) of units. Units from `fixed` on keep classes of their own.
 
     The likelihood is sum f(N(a,b)) - sum f(N(a,.)) - sum f(N(.,b)) with f(x) = x log x; a unit's
-    move changes one row and one column of N, and all targets are judged at once."""
+    move changes one row and one column of N, and all targets are judged at once. Warns if units still move in the last sweep."""
     size = np.bincount(rows, n, units) + np.bincount(cols, n, units)
     cls = np.empty(units, dtype=np.int64)
     cls[:fixed][np.argsort(-size[:fixed], kind="stable")] = np.arange(fixed) % classes
@@ -88,6 +102,7 @@ def exchange(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, units: int, clas
     table = np.zeros((total, total))
     np.add.at(table, (cls[rows], cls[cols]), n)
     order = np.argsort(-size[:fixed], kind="stable")
+    least = 1e-11 * float(xlogx(table.sum() + 1))  # what rounding may make of no gain
     for _ in range(sweeps):
         moved = 0
         for u in order:
@@ -105,10 +120,10 @@ def exchange(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, units: int, clas
             diag = table[d, d]
             gain -= xlogx(diag + out) + xlogx(diag + into) - 2 * xlogx(diag)
             gain += xlogx(diag + out + into + s) - xlogx(diag)
-            left, right = table.sum(axis=1), table.sum(axis=0)
+            left, right = table.sum(axis=1) + into, table.sum(axis=0) + out
             gain -= xlogx(left + out.sum() + s) - xlogx(left) + xlogx(right + into.sum() + s) - xlogx(right)
             b = int(np.argmax(gain[:classes]))
-            if gain[b] <= gain[a] + 1e-9 * abs(gain[a]):
+            if gain[b] <= gain[a] + least:
                 b = a
             table[b] += out
             table[:, b] += into
@@ -116,10 +131,26 @@ def exchange(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, units: int, clas
             moved += b != a
             cls[u] = b
         if not moved:
-            break
+            return cls
+    if sweeps > 100:
+        warnings.warn(f"{moved} units still move after {sweeps} sweeps", stacklevel=2)
     return cls
 
 
+class Gains:
+    """First-order gains of a word in each class, given how often each class is to its left and right.
+
+    The likelihood's derivative by N(a,b) is log N(a,b) - log N(a,.) - log N(.,b) up to a constant."""
+
+    def __init__(self, table: np.ndarray):
+        t, k = table + 0.5, len(table) - 1  # the last class is the end
+        self.left = np.log(t[:, :k]) - np.log(t.sum(axis=0)[:k])
+        self.right = (np.log(t[:k]) - np.log(t.sum(axis=1)[:k, None])).T
+
+    def best(self, left: np.ndarray, right: np.ndarray | None = None) -> np.ndarray:
+        return (left @ self.left + (right @ self.right if right is not None else 0)).argmax(axis=1)
+
+
 def is_held_out(c: Column) -> Column:
     return F.coalesce(F.pmod(crc_of_id(c), F.lit(10)) == 0, F.lit(False))
 
@@ -147,22 +178,21 @@ def word_counts(texts: DataFrame, flush: int = 250_000) -> DataFrame:
     return texts.mapInArrow(run, COUNTS).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def unit_bigrams(texts: DataFrame, units, n_units: int, flush: int = 4_000_000) -> DataFrame:
-    """pair (first * n_units + second) and n over all texts; unit n_units - 1 is the end."""
-    ddl = "pair long, n long"
+def pair_sums(texts: DataFrame, pairs_of, flush: int = 4_000_000) -> DataFrame:
+    """pair and n: how often each of the numbers that pairs_of(words) gives occurs over all texts; summed per task before the shuffle."""
 
     def run(batches):
-        end, held, size = n_units - 1, [], 0
+        held, size = [], 0
         for b in batches:
             for text in b.column(0):
-                ids = np.array([end, *units.value.of(words_of(text.as_py())), end], dtype=np.int64)
-                held.append(ids[:-1] * n_units + ids[1:])
-                size += len(ids)
+                held.append(pairs_of(words_of(text.as_py())))
+                size += len(held[-1])
                 if size > flush:
                     yield from pieces(held)
                     held, size = [], 0
         if held:
             yield from pieces(held)
+        trim_memory()
 
     def pieces(held):
         import pyarrow as pa
@@ -171,7 +201,101 @@ def unit_bigrams(texts: DataFrame, units, n_units: int, flush: int = 4_000_000)
         for i in range(0, len(pair), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(pair[i : i + 200_000]), pa.array(n[i : i + 200_000].astype(np.int64))], names=["pair", "n"])
 
-    return texts.mapInArrow(run, ddl).groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def unit_bigrams(texts: DataFrame, units, n_units: int) -> DataFrame:
+    """pair (first * n_units + second) and n over all texts; unit n_units - 1 is the end."""
+
+    def pairs_of(words):
+        ids = np.concatenate(([n_units - 1], units.value.of(words)[0], [n_units - 1]))
+        return ids[:-1] * n_units + ids[1:]
+
+    return pair_sums(texts, pairs_of)
+
+
+def head_classes(texts: DataFrame, classes, least_rank: int, end: int, gains) -> np.ndarray:
+    """Ranks from least_rank on and the classes of greatest gain, by the classes around these words in all texts."""
+    width = 2 * (end + 1)
+
+    def pairs_of(words):
+        ids, rank = classes.value.of(words)
+        ids = np.concatenate(([end], ids, [end]))
+        at = np.flatnonzero(rank >= least_rank)
+        return np.concatenate((rank[at] * width + ids[at], rank[at] * width + end + 1 + ids[at + 2]))
+
+    found = pair_sums(texts, pairs_of).select(F.expr(f"pair div {width}").alias("rank"), (F.col("pair") % width).cast("int").alias("code"), "n")
+    per = found.groupBy("rank").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("times"))
+
+    def judge(batches):
+        for b in batches:
+            ranks, codes, times = (c.to_pylist() for c in b.columns)
+            m = np.zeros((len(ranks), width))
+            for row, c, n in zip(m, codes, times, strict=True):
+                row[c] = n
+            best = gains.value.best(m[:, : end + 1], m[:, end + 1 :])
+            yield arrow_batch("rank long, k int", list(zip(ranks, best.tolist(), strict=True)))
+
+    return np.array([tuple(r) for r in per.mapInArrow(judge, "rank long, k int").collect()], dtype=np.int64).reshape(-1, 2)
+
+
+TAIL = "word binary, before binary, code long, n long"
+
+
+def tail_contexts(texts: DataFrame, classes, end: int, flush: int = 2_000_000) -> DataFrame:
+    """Rows of TAIL: the classes before every occurrence of a word without a rank, gathered per task; and, with null word,
+    counts n of the other transitions, code = class before * (end + 1) + class."""
+
+    def run(batches):
+        held, size, table = {}, 0, np.zeros((end + 1) ** 2, np.int64)
+        for b in batches:
+            for text in b.column(0):
+                words = words_of(text.as_py())
+                ids, rank = classes.value.of(words)
+                before, now = np.concatenate(([end], ids)), np.concatenate((ids, [end]))
+                plain = np.concatenate((rank >= 0, [True]))
+                table += np.bincount(before[plain] * (end + 1) + now[plain], minlength=len(table))
+                for i in np.flatnonzero(rank < 0).tolist():
+                    held.setdefault(words[i], bytearray()).append(before[i])
+                    size += 1
+                if size > flush:
+                    yield from pieces(held)
+                    held, size = {}, 0
+        yield from pieces(held)
+        yield arrow_batch(TAIL, [(None, None, i, int(table[i])) for i in np.flatnonzero(table).tolist()])
+        trim_memory()
+
+    def pieces(held):
+        rows = [(w, bytes(x), None, None) for w, x in held.items()]
+        for i in range(0, len(rows), 50_000):
+            yield arrow_batch(TAIL, rows[i : i + 50_000])
+
+    return texts.mapInArrow(run, TAIL)
+
+
+KINDS = "word binary, c long, k int, code long, n long"
+
+
+def tail_classes(found: DataFrame, classes, end: int, gains, least_count: int) -> DataFrame:
+    """Rows of KINDS: count and class of every word without a rank; and, with null word, counts of the transitions to them."""
+
+    def judge(batches):
+        table = np.zeros((end + 1) ** 2, np.int64)
+        for b in batches:
+            words, before = b.column(0).to_pylist(), [np.frombuffer(b"".join(x), np.uint8) for x in b.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in before], dtype=np.int64)
+            owner, every = np.repeat(np.arange(len(words)), sizes), np.concatenate([*before, np.zeros(0, np.uint8)]).astype(np.int64)
+            m = np.bincount(owner * (end + 1) + every, minlength=len(words) * (end + 1)).reshape(len(words), end + 1)
+            k = gains.value.best(m)
+            for i in np.flatnonzero(sizes < least_count).tolist():
+                k[i] = classes.value.pool(words[i])
+            table += np.bincount(every * (end + 1) + k[owner], minlength=len(table))
+            yield arrow_batch(KINDS, [(w, c, x, None, None) for w, c, x in zip(words, sizes.tolist(), k.tolist(), strict=True)])
+        yield arrow_batch(KINDS, [(None, None, None, i, int(table[i])) for i in np.flatnonzero(table).tolist()])
+        trim_memory()
+
+    per = found.where("word is not null").groupBy("word").agg(F.collect_list("before").alias("before"))
+    return per.mapInArrow(judge, KINDS)
 
 
 def most_frequent(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
@@ -188,100 +312,121 @@ def most_frequent(counts: DataFrame, n: int) -> list[tuple[bytes, int]]:
 
 
 class Model:
-    """What scoring needs: classes of words, transitions and emission denominators (log10), head counts."""
+    """What scoring needs: classes of words, transitions and emission denominators (log10), counts by rank."""
 
-    def __init__(self, classes: Classes, transitions: np.ndarray, emissions: np.ndarray, head: dict[bytes, int], total: float, end_count: int):
-        self.classes, self.transitions, self.emissions, self.head, self.total, self.end_count = classes, transitions, emissions, head, total, end_count
+    def __init__(self, classes: Classes, transitions: np.ndarray, emissions: np.ndarray, head: list[int], total: float, end_count: int):
+        self.classes, self.transitions, self.emissions, self.total, self.end_count = classes, transitions, emissions, total, end_count
+        self.head = np.log10(np.array(head, dtype=np.float64) + ALPHA)
 
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, before array<binary>"
 
 
-def train(training: DataFrame, classes: int = 48, head_units: int = 1000, pools: int = 400, head_words: int = 200_000, beta: float = 5.0) -> tuple[Model, DataFrame, int]:
-    """The model, the table of word counts (word, c) and the number of training tokens."""
+def train(training: DataFrame, classes: int = 48, head_units: int = 1000, pools: int = 400, head_words: int = 200_000, least_count: int = 3, beta: float = 5.0) -> tuple[Model, DataFrame, int]:
+    """The model, the table of words without a rank (word, c, k: its class) and the number of training tokens."""
+    if not 0 < classes < 255:
+        raise ValueError("classes must fit a byte")
     sc = training.sparkSession.sparkContext
     texts = scan(training, "doc_id", "text").select("text")
     counts = materialise(word_counts(texts), "brown-counts")
     n_docs = texts.count()
     n_words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, types = n_words + n_docs, types + (n_docs > 0)
+    tokens, types, end = n_words + n_docs, types + (n_docs > 0), classes
     head = dict(sorted(most_frequent(counts, head_words), key=lambda x: (-x[1], x[0])))
-    unit_of = {w: i for i, w in enumerate(list(head)[:head_units])}
-    n_units = len(unit_of) + pools + 1
-    units = sc.broadcast(Classes(unit_of, list(range(len(unit_of), n_units - 1))))
+    rank = {w: i for i, w in enumerate(head)}
+    # 1: units
+    top = min(head_units, len(head))
+    n_units = top + pools + 1
+    units = sc.broadcast(Classes(dict(list(rank.items())[:top]), list(range(top)), list(range(top, n_units - 1))))
     found = unit_bigrams(texts, units, n_units).toArrow()
     pair, n = found.column("pair").to_numpy(), found.column("n").to_numpy().astype(np.float64)
     rows, cols = pair // n_units, pair % n_units
     cls = exchange(rows, cols, n, n_units, classes, n_units - 1)
     table = np.zeros((classes + 1, classes + 1))
     np.add.at(table, (cls[rows], cls[cols]), n)
+    gains, of_pool = sc.broadcast(Gains(table)), [int(c) for c in cls[top : n_units - 1]]
+    # 2: the other frequent words
+    of_rank = [int(cls[i]) if i < top else of_pool[pool_of(w, pools)] for w, i in rank.items()]
+    if len(head) > top:
+        moved = head_classes(texts, sc.broadcast(Classes(rank, of_rank, of_pool)), top, end, gains)
+        for i, k in moved.tolist():
+            of_rank[i] = k
+    shared = sc.broadcast(Classes(rank, of_rank, of_pool))
+    # 3: all words, and the transitions
+    found = materialise(tail_contexts(texts, shared, end), "brown-contexts")
+    tail = materialise(tail_classes(found, shared, end, gains, least_count), "brown-tail")
+    seen = lambda df: df.where("word is null").select("code", "n")
+    table[:] = 0
+    for code, times in seen(found).unionByName(seen(tail)).groupBy("code").agg(F.sum("n")).collect():
+        table[code // (end + 1), code % (end + 1)] = times
     prior = (table.sum(axis=0) + ALPHA) / (table.sum() + ALPHA * (classes + 1))
     transitions = np.log10((table + beta * prior) / (table.sum(axis=1, keepdims=True) + beta))
-    of_words = Classes({w: int(cls[i]) for w, i in unit_of.items()}, [int(c) for c in cls[len(unit_of) : n_units - 1]])
-    shared = sc.broadcast(of_words)
-
-    def per_class(batches):
-        for b in batches:
-            k = np.array(shared.value.of([bytes(w) for w in b.column(0).to_pylist()]), dtype=np.int64)
-            c = b.column(1).to_numpy(zero_copy_only=False)
-            yield arrow_batch("k int, c long, v long", [(int(i), int(c[k == i].sum()), int((k == i).sum())) for i in np.unique(k)])
-
-    sums = counts.mapInArrow(per_class, "k int, c long, v long").groupBy("k").agg(F.sum("c"), F.sum("v")).collect()
-    emissions = np.full(classes + 1, math.log10(ALPHA))
-    for k, c, v in sums:
-        emissions[k] = math.log10(c + ALPHA * (v + 1))
-    return Model(of_words, transitions, emissions, head, math.log10(tokens + ALPHA * (types + 1)), n_docs), counts, tokens
-
-
-def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    tail = tail.where("word is not null").select("word", "c", "k")
+    sums = np.zeros((2, classes + 1))
+    np.add.at(sums[0], of_rank, list(head.values()))
+    np.add.at(sums[1], of_rank, 1)
+    for k, c, v in tail.groupBy("k").agg(F.sum("c"), F.count(F.lit(1))).collect():
+        sums[:, k] += c, v
+    emissions = np.log10(sums[0] + ALPHA * (sums[1] + 1))
+    emissions[end] = math.log10(ALPHA)
+    return Model(shared.value, transitions, emissions, list(head.values()), math.log10(tokens + ALPHA * (types + 1)), n_docs), tail, tokens
+
+
+def score(documents: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        from collections import Counter
-
         from pyspark import TaskContext
 
         m, row = shared.value, TaskContext.get().partitionId() << 33
-        end, log_head = len(m.emissions) - 1, {}
+        end = len(m.emissions) - 1
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 row += 1
                 words = words_of(text.as_py())
-                ids = np.array([end, *m.classes.of(words), end], dtype=np.int64)
-                total = float(m.transitions[ids[:-1], ids[1:]].sum() - m.emissions[ids[1:-1]].sum())
-                base, known, tail = math.log10(m.end_count + ALPHA) - (len(words) + 1) * m.total, int(m.end_count > 0), {}
-                for w, n in Counter(words).items():
-                    c = m.head.get(w)
-                    if c is None:
-                        tail[w] = n
-                    else:
-                        x = log_head.get(c)
-                        if x is None:
-                            x = log_head[c] = math.log10(c + ALPHA)
-                        known += n
-                        base += n * x
-                        total += n * x
-                rows.append((row, doc_id, len(words) + 1, known, base, total, list(tail), list(tail.values())))
+                ids, rank = m.classes.of(words)
+                plain = rank >= 0
+                before, own = np.concatenate(([end], ids)), ids[plain]
+                logs = float(m.head[rank[plain]].sum()) if len(own) else 0.0
+                base = math.log10(m.end_count + ALPHA) - (len(words) + 1) * m.total + logs
+                total = float(m.transitions[before[:-1][plain], own].sum() - m.emissions[own].sum() + m.transitions[before[-1], end]) + logs
+                tail: dict[bytes, bytearray] = {}
+                for i in np.flatnonzero(~plain).tolist():
+                    tail.setdefault(words[i], bytearray()).append(before[i])
+                rows.append((row, doc_id, len(words) + 1, len(own) + int(m.end_count > 0), base, total, list(tail), [bytes(x) for x in tail.values()]))
             yield arrow_batch(SCORED, rows)
+        trim_memory()
+
+    parts = "row long, more double, classed double, known long"
+
+    def look_up(batches):
+        m = shared.value
+        for b in batches:
+            rows, words, before, c, k = (x.to_pylist() for x in b.columns)
+            k = np.array([m.classes.pool(w) if x is None else x for w, x in zip(words, k, strict=True)], dtype=np.int64)
+            c, n = np.array([x or 0 for x in c]), np.array([len(x) for x in before], dtype=np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            steps = m.transitions[np.frombuffer(b"".join(before), np.uint8), k[owner]]
+            more = n * np.log10(c + ALPHA)
+            classed = more - n * m.emissions[k] + np.bincount(owner, steps, len(n))
+            yield arrow_batch(parts, list(zip(rows, more.tolist(), classed.tolist(), np.where(c > 0, n, 0).tolist(), strict=True)))
+        trim_memory()
 
     local = materialise(scan(documents, "doc_id", "text").mapInArrow(run, SCORED), "brown-scores")
-    rare = local.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("n"))
-    joined = rare.join(counts, "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    sums = joined.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + F.lit(ALPHA))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).cast("long").alias("known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return local.drop("words", "times").join(sums, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
-    )
+    rare = local.select("row", F.explode(F.arrays_zip("words", "before")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.before").alias("before"))
+    joined = rare.join(tail, "word", "left").select("row", "word", "before", "c", "k")
+    sums = joined.mapInArrow(look_up, parts).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more", "classed", "known")))
+    zero = lambda x, of: F.col(x) + F.coalesce(of, F.lit(0))
+    return local.drop("words", "before").join(sums, "row", "left").select("doc_id", "n_tokens", zero("n_known", "known").alias("n_known"), zero("base", "more").alias("base_score"), zero("score", "classed").alias("score"))
 
 
 def class_bigram_scores(documents: DataFrame, **params) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     held = is_held_out(F.col("doc_id"))
-    model, counts, tokens = train(documents.where(~held), **params)
-    scored = score(documents, model, counts)
+    model, tail, tokens = train(documents.where(~held), **params)
+    scored = score(documents, model, tail)
     return scored.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
@@ -289,6 +434,7 @@ def class_bigram_scores(documents: DataFrame, **params) -> DataFrame:
 
 
 def op2_brown_scores(spark, sf_dir):
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document; nulls and empty texts as stated above."""
     from .common import table
 
     return class_bigram_scores(table(spark, sf_dir, "documents"))

@@ -205,6 +205,23 @@ def test_exchange_ends_where_no_move_raises_the_likelihood():
             assert likelihood(n, moved, 4) <= values[-1] + 1e-9
 
 
+@pytest.mark.filterwarnings("error")
+def test_exchange_settles_on_word_bigrams():
+    """The likelihood rises in every sweep until nothing moves, with words that follow themselves and open texts."""
+    c = brown.Classes({w: i for i, w in enumerate([b"the", b"and", b"les", b"oi", b"ing", b"ou", b"eau"])}, list(range(7)), list(range(7, 15)))
+    pairs = collections.Counter()
+    for _, t, _ in made(120):
+        ids = [15, *c.of(brown.words_of(t))[0].tolist(), 15]
+        pairs.update(zip(ids, ids[1:], strict=False))
+    n = np.zeros((16, 16))
+    for k, v in pairs.items():
+        n[k] = v
+    r, c = np.nonzero(n)
+    values = [likelihood(n, brown.exchange(r, c, n[r, c], 16, 4, 15, sweeps=k), 5) for k in range(1, 9)]
+    last = likelihood(n, brown.exchange(r, c, n[r, c], 16, 4, 15), 5)
+    assert values == sorted(values) and last >= values[-1]
+
+
 def test_base_scores_and_counts(spark):
     rows = [(i + 100, t, lang) for i, t, lang in made(200)] + HARD
     got = brown.class_bigram_scores(docs(spark, rows), classes=6, head_units=40, pools=10, head_words=60).collect()
@@ -220,12 +237,52 @@ def test_base_scores_and_counts(spark):
 
 def test_probabilities_of_the_next_word_sum_to_one(spark):
     rows = made(120)
-    model, counts, _ = brown.train(docs(spark, rows), classes=4, head_units=20, pools=5)
-    words = [bytes(r["word"]) for r in counts.collect()]
-    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
-    k = np.array(model.classes.of(words))
-    emission = np.array([math.log10(c[w] + 0.1) for w in words]) - model.emissions[k]
+    model, tail, _ = brown.train(docs(spark, rows), classes=4, head_units=20, pools=5, head_words=60)
+    tail = [(bytes(r["word"]), r["c"], r["k"]) for r in tail.collect()]
+    c = collections.Counter(w for _, t, _ in rows for w in brown.words_of(t))
+    assert {w: n for w, n, _ in tail} == {w: n for w, n in c.items() if w not in model.classes.rank} and len(model.classes.rank) > 20
+    assert all(k == model.classes.pool(w) for w, n, k in tail if n < 3)
+    k = np.array([*model.classes.of_rank.tolist(), *(x for *_, x in tail)])
+    emission = np.array([*model.head.tolist(), *(math.log10(n + 0.1) for _, n, _ in tail)]) - model.emissions[k]
     sums = np.bincount(k, 10**emission, 5)
     unseen = 0.1 / 10 ** model.emissions[:4]
     assert (sums[:4] + unseen)[np.isin(np.arange(4), k)] == pytest.approx(1)
     assert (10**model.transitions).sum(axis=1) == pytest.approx(np.ones(5))
+
+
+def test_scores_against_brute_force(spark):
+    """Score of every row from the model's classes, by sums over its words; words without a rank come by the join."""
+    rows = [(i + 100, t, lang) for i, t, lang in made(150)] + HARD
+    df, params = docs(spark, rows), {"classes": 6, "head_units": 15, "pools": 7, "head_words": 40}
+    got = collections.Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in brown.class_bigram_scores(df, **params).collect())
+    model, tail, _ = brown.train(df.where(~brown.is_held_out(df["doc_id"])), **params)
+    tail = {bytes(r["word"]): (r["c"], r["k"]) for r in tail.collect()}
+    own = {w: (round(10 ** model.head[i] - 0.1), int(model.classes.of_rank[i])) for w, i in model.classes.rank.items()}
+    want = collections.Counter()
+    for i, t, _ in rows:
+        words, before, total = brown.words_of(t), 6, 0.0
+        for w in words:
+            c, k = own.get(w) or tail.get(w) or (0, model.classes.pool(w))
+            total += model.transitions[before, k] + math.log10(c + 0.1) - model.emissions[k]
+            before = own[w][1] if w in own else model.classes.pool(w)
+        want[i, len(words) + 1, round(total + model.transitions[before, 6], 6)] += 1
+    assert got == want
+    assert len(tail) > 20 and len({k for w, (c, k) in tail.items() if c >= 3}) > 1
+
+
+def test_words_move_to_the_class_of_greatest_gain():
+    """Counts of a word moved between classes: the first-order gain picks the class that the exact likelihood does."""
+    rng = np.random.default_rng(2)
+    table = rng.integers(200, 4000, (6, 6)).astype(float)
+    hits = 0
+    for _ in range(60):
+        left, right = rng.multinomial(8, rng.dirichlet(np.ones(6) / 3)), rng.multinomial(8, rng.dirichlet(np.ones(6) / 3))
+
+        def value(b, left=left, right=right):
+            t = table.copy()
+            t[:, b] += left
+            t[b] += right
+            return brown.xlogx(t).sum() - brown.xlogx(t.sum(0)).sum() - brown.xlogx(t.sum(1)).sum()
+
+        hits += brown.Gains(table).best(left[None], right[None])[0] == max(range(5), key=value)
+    assert hits >= 58
