@@ -213,7 +213,8 @@ def sample(documents: DataFrame, per_language: int, segments: int) -> tuple[list
     docs = scan(documents, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
     docs = docs.where(~is_held_out(F.col("doc_id")))
     narrow = docs.select("doc_id", "lang")
-    bars = narrow.groupBy("lang").agg((per_language / F.count(F.lit(1))).alias("bar"))
+    bars = materialise(narrow.groupBy("lang").agg((per_language / F.count(F.lit(1))).alias("bar")), "languages")
+    bars = F.broadcast(bars) if bars.count() <= 100_000 else bars
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
     ids = materialise(narrow.join(bars, "lang").where(place < F.col("bar")).select("doc_id", "lang").distinct(), "language-sample")
     n = ids.count()
