@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, arrow_batch, crc_of_id, materialise, scan, trim_memory
+from .common import LOWER_BYTES, arrow_batch, crc_of_id, materialise, scan, scratch, trim_memory
 
 ALPHA = 0.1
 COUNTS = "word binary, c long"
@@ -425,7 +425,8 @@ def score(documents: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
 def class_bigram_scores(documents: DataFrame, **params) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     held = is_held_out(F.col("doc_id"))
-    model, tail, tokens = train(documents.where(~held), **params)
+    with scratch(documents.sparkSession, "brown-tail"):
+        model, tail, tokens = train(documents.where(~held), **params)
     scored = score(documents, model, tail)
     return scored.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),

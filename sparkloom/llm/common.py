@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,23 +39,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
+    if _OPEN:
+        _OPEN[-1].append((name, path))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Names and paths of the tables that the open scratch() blocks have made, innermost last.
+_OPEN: list[list[tuple[str, str]]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str):
+    """Deletes the tables that materialise() makes within the block at its end, but for the last of each name to keep.
+
+    Results that are read after the block must rest on kept tables only. The block is of one thread."""
+    made: list[tuple[str, str]] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        kept = [(name, path) for name, path in {n: p for n, p in made}.items() if name in keep]
+        for x in made:
+            if x not in kept:
+                delete(spark, x[1])
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of long text in an Arrow batch at most, which bounds a Python worker's memory.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch of texts, about, which bounds a Python worker's memory; one longer text is a batch.
+BATCH_BYTES = "8m"
 
 
 def scan(df: DataFrame, id_column: str, *columns: str) -> DataFrame:
-    """The id as long and the other columns, to be read in Arrow batches of at most BATCH_ROWS rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """The id as long and the other columns, to be read in Arrow batches of about BATCH_BYTES.
+
+    The bound is a session setting that Spark reads when the result is computed, so it stays set; a value
+    that differs from Spark's default is the user's own and is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "64MB", "64m"):
+        conf.set(key, BATCH_BYTES)
     return df.select(F.col(id_column).cast("long").alias(id_column), *columns)
 
 
@@ -81,6 +115,11 @@ def crc_of_id(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
+def row_key(id_column: str = "doc_id") -> Column:
+    """A 64-bit key of a document row: of its id, which may be null or repeat, and its text."""
+    return F.xxhash64(F.col(id_column).cast("long"), "text")
+
+
 def arrow_schema(ddl: str):
     """The Arrow schema of a flat DDL string; usable in Python workers, which have no session."""
     import pyarrow as pa

@@ -49,7 +49,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, materialise, scan
+from .common import arrow_batch, materialise, scan, scratch
 
 MARKUP = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
@@ -373,7 +373,8 @@ BLOCK_ROWS = "row long, page_id long, url string, seq int, host string, path str
 def extract(pages: DataFrame, broadcast_rows: int = 300_000, **params) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     source = scan(pages, "page_id", "url", "html")
-    low = materialise(low_branches(pages, **params), "style-low")
+    with scratch(pages.sparkSession, "style-low"):
+        low = materialise(low_branches(pages, **params), "style-low")
     if low.count() <= broadcast_rows:
         known = pages.sparkSession.sparkContext.broadcast({hash64(h, p) for h, p in low.select("host", "path").toLocalIterator()})
 

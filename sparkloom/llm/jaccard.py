@@ -50,7 +50,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, materialise, scan, trim_memory
+from .common import arrow_batch, materialise, row_key, scan, scratch, trim_memory
 from .components import components
 
 #: A random 64-bit value for every byte, the same for A-Z as for a-z; which bytes part words.
@@ -62,7 +62,7 @@ _MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, size=64, dtype=np.ui
 _PART = 1 << 18
 _POWERS: list[np.ndarray] = []
 
-SETS = "doc_id long, n_shingles long, n_low long, set_id long, hot binary"
+SETS = "doc_id long, row_key long, n_shingles long, n_low long, set_id long, hot binary"
 BLOCKS = "bucket int, sets binary, sizes binary, counts binary, tokens binary"
 
 
@@ -198,14 +198,14 @@ def sets_of(documents: DataFrame, n: int, sampled: float, hot) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc_id, text, key in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 s = shingles(text.as_py(), n)
                 is_hot = hot.value.at(s)
-                rows.append((doc_id, len(s), len(low_part(s[~is_hot], sampled)), set_id(s) if len(s) else None, s[is_hot].tobytes() if is_hot.any() else None))
+                rows.append((doc_id, key, len(s), len(low_part(s[~is_hot], sampled)), set_id(s) if len(s) else None, s[is_hot].tobytes() if is_hot.any() else None))
             yield arrow_batch(SETS, rows)
         trim_memory()
 
-    return scan(documents, "doc_id", "text").mapInArrow(run, SETS)
+    return scan(documents.withColumn("row_key", row_key()), "doc_id", "text", "row_key").mapInArrow(run, SETS)
 
 
 def blocks(documents: DataFrame, n: int, buckets: int, choose, bitmap=None) -> DataFrame:
@@ -558,8 +558,39 @@ def linked_sets(sets: DataFrame, percent: int, rounds: int, few: int = 4096) ->
     return label
 
 
-def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 75, sampled: float = 0.35, rare: int = 24, rounds: int = 6, block_tokens: int = 4_000_000, bitmap_bits: int = 1 << 29, hot_sets: int = 200_000, hot_one_in: int = 256) -> DataFrame:
+def near_duplicates(documents: DataFrame, **params) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    keyed = components_of_rows(documents, **params).withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(ROOT_SALTS)).cast("int"))
+    lowest = keyed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    lowest = lowest.select("root", "low", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
+    return keyed.join(lowest, ["root", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+
+
+def further_rows(documents: DataFrame, **params) -> DataFrame:
+    """doc_id, row_key, first of the rows that are not the first of their component, and of repeats of the first row.
+
+    Rows of a component go by doc_id, nulls last, then by row_key; first says that the row has the id and key of the first one
+    and is there more than once. Rows without words have no component and are not listed."""
+    keyed = components_of_rows(documents, **params).where("root is not null").withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(ROOT_SALTS)).cast("int"))
+    keyed = keyed.withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    lowest = keyed.groupBy("root").agg(F.min("place").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    lowest = lowest.select("root", "low", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
+    joined = keyed.join(lowest, ["root", "salt"]).select("doc_id", "row_key", (F.col("place") == F.col("low")).alias("first"))
+    counted = joined.groupBy("doc_id", "row_key", "first").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("not first or n > 1").select("doc_id", "row_key", "first")
+
+
+def components_of_rows(documents: DataFrame, n: int = 5, percent: int = 75, sampled: float = 0.35, rare: int = 24, rounds: int = 6, block_tokens: int = 4_000_000, bitmap_bits: int = 1 << 29, hot_sets: int = 200_000, hot_one_in: int = 256) -> DataFrame:
+    """doc_id, row_key (of id and text), n_shingles and root (null without words, else the same for a component's rows) of every row."""
+    with scratch(documents.sparkSession, "jaccard-sets", "jaccard-labels"):
+        docs, label = labelled(documents, n, percent, sampled, rare, rounds, block_tokens, bitmap_bits, hot_sets, hot_one_in)
+    keyed = docs.select("doc_id", "row_key", "n_shingles", "set_id")
+    keyed = keyed.join(label, "set_id", "left") if label is not None else keyed.withColumn("root", F.lit(None).cast("long"))
+    return keyed.withColumn("root", F.coalesce("root", "set_id"))
+
+
+def labelled(documents: DataFrame, n: int, percent: int, sampled: float, rare: int, rounds: int, block_tokens: int, bitmap_bits: int, hot_sets: int, hot_one_in: int) -> tuple[DataFrame, DataFrame | None]:
+    """SETS of every row, and set_id and root of the sets that link with others."""
     spark = documents.sparkSession
     hot = spark.sparkContext.broadcast(Hot.of(documents, n, hot_sets, hot_one_in))
     docs = materialise(sets_of(documents, n, sampled, hot), "jaccard-sets")
@@ -581,13 +612,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 75, sampled
         counted = counted.withColumn("hot", F.lit(None).cast("binary"))
     merged = counted.groupBy("set_id").agg(F.max("n").alias("n"), F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"), F.max("hot").alias("hot"))
     sets = materialise(candidates(merged, percent, rare, hot), "jaccard-candidates")
-    label = linked_sets(sets, percent, rounds)
-    keyed = docs.select("doc_id", "n_shingles", "set_id")
-    keyed = keyed.join(label, "set_id", "left") if label is not None else keyed.withColumn("root", F.lit(None).cast("long"))
-    keyed = keyed.withColumn("root", F.coalesce("root", "set_id")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(ROOT_SALTS)).cast("int"))
-    lowest = keyed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    lowest = lowest.select("root", "low", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
-    return keyed.join(lowest, ["root", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+    return docs, linked_sets(sets, percent, rounds)
 
 
 def op8_jaccard(spark, sf_dir):

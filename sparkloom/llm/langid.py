@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, crc_of_id, materialise, scan, trim_memory
+from .common import arrow_batch, crc_of_id, materialise, scan, scratch, trim_memory
 
 SEGMENT, WARM, TRAIN = 8192, 256, 96
 #: Bytes of a block of rows that are run together, and rows of it, at most.
@@ -242,7 +242,8 @@ def sample(documents: DataFrame, per_language: int, segments: int) -> tuple[list
 
 
 def fit(documents: DataFrame, per_language: int = 500, segments: int = 12, **params) -> tuple[list[str], BiGRU | None]:
-    langs, x, y = sample(documents, per_language, segments)
+    with scratch(documents.sparkSession):
+        langs, x, y = sample(documents, per_language, segments)
     return langs, train(x, y, len(langs), **params) if len(langs) else None
 
 
