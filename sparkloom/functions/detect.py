@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bare
+
 # Marks that bundlers and minifiers leave in their output.
 FINGERPRINTS = (
     "__webpack_require__",
@@ -39,7 +41,7 @@ def first_fingerprint(code: Column) -> Column:
 
 def bytes_per_line(code: Column) -> Column:
     """Bytes of the whole text over its lines that are not blank."""
-    lines = F.size(F.filter(F.split(code, "\n"), lambda x: F.trim(x) != ""))
+    lines = F.size(F.filter(F.split(code, "\n"), lambda x: bare(x) != ""))
     return F.octet_length(code) / F.nullif(lines, F.lit(0)).cast("double")
 
 
@@ -55,7 +57,7 @@ def short_share(code: Column) -> Column:
 def detect(df: DataFrame, code: str = "content") -> DataFrame:
     """df with code_type (Empty, CompiledCode, SourceCode) and reason."""
     c = F.coalesce(F.col(code), F.lit(""))
-    blank, mark, width = F.trim(c, F.lit(" \t\r\n")) == "", first_fingerprint(c), bytes_per_line(c)
+    blank, mark, width = bare(c) == "", first_fingerprint(c), bytes_per_line(c)
     few, share = F.size(identifiers(c)) < LEAST_IDENTIFIERS, short_share(c)
     kind = (
         F.when(blank, "Empty").when(mark.isNotNull(), "CompiledCode").when(width > MOST_BYTES_PER_LINE, "CompiledCode")

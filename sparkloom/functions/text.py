@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Unicode's white space, as a set of characters to trim.
+WHITE = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def bare(c: Column) -> Column:
+    """Text without the white space around it."""
+    return F.trim(c, F.lit(WHITE))
+
 
 def default_tokens(text: Column, longest: int = 40) -> Column:
     """Lower-cased runs of letters and digits, without those of over `longest` characters."""
@@ -16,8 +24,9 @@ def code_tokens(text: Column) -> Column:
     """Identifiers split at underscores and before every capital, lower-cased; the whole identifier follows its parts."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([a-zA-Z0-9_]+)"), F.lit(1))
     parts = lambda w: F.filter(F.regexp_extract_all(w, F.lit("([A-Z]?[^A-Z_]+|[A-Z])"), F.lit(1)), lambda p: p != "")
-    each = lambda w: F.when(F.size(parts(w)) > 1, F.concat(parts(w), F.array(w))).otherwise(parts(w))
-    return F.transform(F.flatten(F.transform(words, each)), lambda t: F.lower(t))
+    # the parts of a word are bound once, by a transform of an array of one, as Spark shares nothing within a lambda
+    each = lambda w: F.transform(F.array(parts(w)), lambda p: F.when(F.size(p) > 1, F.concat(p, F.array(w))).otherwise(p))
+    return F.transform(F.flatten(F.flatten(F.transform(words, each))), lambda t: F.lower(t))
 
 
 def tokens(text: Column, tokenizer: str = "code") -> Column:
@@ -35,12 +44,12 @@ def line_range(content: Column, first: Column, last: Column) -> Column:
 
 
 def long_enough(content: Column, least: int = 16) -> Column:
-    return F.length(F.trim(content, F.lit(" \t\n\r\x0b\x0c"))) >= least
+    return F.length(bare(content)) >= least
 
 
 def short_penalty(score: Column, content: Column, full: int = 30) -> Column:
     """score * (1 - (1 - len/full) / 2) where the trimmed content is shorter than `full`."""
-    n = F.length(F.trim(content)).cast("double")
+    n = F.length(bare(content)).cast("double")
     return F.when(n < full, score * (1 - (1 - n / full) * 0.5)).otherwise(score)
 
 
@@ -63,7 +72,3 @@ def truncate_bytes(content: Column, most: int = 64_000) -> Column:
     chars = F.split(content, "")
     size = F.aggregate(chars, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), lambda a, c: F.when(a["n"] + F.octet_length(c) <= most, F.struct((a["n"] + F.octet_length(c)).alias("n"), (a["k"] + F.length(c)).alias("k"))).otherwise(F.struct(F.lit(most + 1).alias("n"), a["k"].alias("k"))))
     return F.when(fits, content).otherwise(F.substring(content, F.lit(1), size["k"]))
-
-
-def round3(score: Column) -> Column:
-    return F.round(score.cast("double"), 3)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,21 +52,32 @@ def scores(post: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     return weighed.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def clean_query(query: str) -> str:
-    """The query without operator characters, for a second attempt."""
-    return re.sub(r'["*?]', " ", query).strip()
+def read_query(query: str) -> tuple[str, bool]:
+    """The words to look for, and whether only as a phrase.
+
+    A query in quotes is a phrase. One with an open quote cannot be read; without its operator characters it is
+    tried as a phrase where it has several words."""
+    quotes, sound = query.count('"'), re.sub(r'["*?]', "", query).strip()
+    if quotes % 2 == 0:
+        whole = re.fullmatch(r'\s*"([^"]*)"\s*', query)
+        return (whole[1], " " in whole[1].strip()) if whole else (re.sub(r'["*?]', " ", query), False)
+    return sound, " " in sound
 
 
 def search(docs: DataFrame, id_column: str, query: str, limit: int, fields: dict[str, str], tokenizer: str = "code", only=None, post: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """id and score of the best `limit` (at least 1) documents for any of the query's terms.
 
     only: a condition on docs; it filters results, while frequencies are those of the whole corpus.
-    post and stats: tables made by postings() and field_stats() before."""
+    post and stats: tables made by postings() and field_stats() before. A phrase (read_query) must stand in one field."""
     spark = docs.sparkSession
-    terms = query_terms(spark, query, tokenizer) or query_terms(spark, clean_query(query), tokenizer)
+    words, as_phrase = read_query(query)
+    terms = query_terms(spark, words, tokenizer)
     post = postings(docs, id_column, fields, tokenizer) if post is None else post
     stats = field_stats(docs, id_column, fields, tokenizer) if stats is None else stats
     found = scores(post, stats, terms)
+    if as_phrase:
+        held = [phrase(docs, id_column, c, words, tokenizer) for c in fields.values()]
+        found = found.join(reduce(DataFrame.unionByName, held).distinct(), "id", "left_semi")
     if only is not None:
         found = found.join(docs.where(only).select(F.col(id_column).alias("id")), "id", "left_semi")
     return found.orderBy(F.desc(F.round("score", 9)), "id").limit(max(limit, 1))
@@ -82,3 +95,46 @@ def phrase(docs: DataFrame, id_column: str, column: str, query: str, tokenizer:
 def delete_paths(table: DataFrame, paths: DataFrame, column: str = "file_path") -> DataFrame:
     """The table without the rows of the given paths (path)."""
     return table.join(paths.select(F.col("path").alias(column)).distinct(), column, "left_anti").select(*table.columns)
+
+
+def document_count(stats: DataFrame) -> int:
+    """How many documents an index holds, from its field statistics."""
+    return stats.agg(F.coalesce(F.max("n_docs"), F.lit(0))).first()[0]
+
+
+class TextSearchProvider(Protocol):
+    """Anything that can be the sparse channel: an index that takes chunks and answers with id and score, best first."""
+
+    def index_chunks(self, chunks: DataFrame) -> None: ...
+
+    def search(self, query: str, limit: int) -> DataFrame: ...
+
+    def remove_by_path(self, path: str) -> None: ...
+
+    def is_ready(self) -> bool: ...
+
+    def document_count(self) -> int: ...
+
+
+class TableSearch:
+    """A TextSearchProvider over a chunk table (snippet_id, file_path, and the fields' columns)."""
+
+    def __init__(self, fields: dict[str, str], tokenizer: str = "code", chunks: DataFrame | None = None):
+        self.fields, self.tokenizer, self.chunks = fields, tokenizer, chunks
+
+    def index_chunks(self, chunks: DataFrame) -> None:
+        """Adds chunks; those of an id that is there already are replaced."""
+        kept = None if self.chunks is None else self.chunks.join(chunks.select("snippet_id").distinct(), "snippet_id", "left_anti")
+        self.chunks = chunks if kept is None else kept.unionByName(chunks)
+
+    def search(self, query: str, limit: int) -> DataFrame:
+        return search(self.chunks, "snippet_id", query, limit, self.fields, self.tokenizer)
+
+    def remove_by_path(self, path: str) -> None:
+        self.chunks = self.chunks.where(F.col("file_path") != path)
+
+    def is_ready(self) -> bool:
+        return self.chunks is not None
+
+    def document_count(self) -> int:
+        return 0 if self.chunks is None else self.chunks.count()

@@ -217,7 +217,11 @@ class BraceWalk:
         self.add("call", name, header[-1].start, header[-1].end)
 
     def drop_pending_calls(self, start: int, end: int) -> None:
-        self.rows = [r for r in self.rows if not (r["kind"] == "call" and start <= r["_start"] < end)]
+        """Drops the calls read since start, which stand at the end of the rows."""
+        k = len(self.rows)
+        while k and self.rows[k - 1]["_start"] >= start:
+            k -= 1
+        self.rows[k:] = [r for r in self.rows[k:] if not (r["kind"] == "call" and r["_start"] < end)]
 
     def opened(self, header: list[Token], brace: Token, depth: list) -> Scope:
         words = [t.text for t in header]
@@ -496,8 +500,9 @@ class BraceWalk:
             self.add("import", parts[-1], header[0].start, header[-1].end, path_components=parts, alias=alias, import_type=import_type(self.language, parts, raw))
 
     def finish(self) -> list[dict]:
-        starts = encoded_offsets(self.code)
+        starts, broken = encoded_offsets(self.code), unbalanced(self.code, self.language)
         for r in self.rows:
+            r["is_error"] = r["is_error"] or (r["kind"] == "call" and any(a <= r["_start"] < z for a, z in broken))
             first, last = self.row_of(r["_start"]), self.row_of(max(r["_end"] - 1, r["_start"]))
             r |= {"start_row": first, "end_row": last, "decl_end_row": self.row_of(max(r["_decl"] - 1, r["_start"])), "start_byte": starts(r["_start"]), "end_byte": starts(r["_end"])}
             r["declaration"] = self.code[r["_start"] : r["_decl"]]
@@ -506,11 +511,33 @@ class BraceWalk:
         return identified(self.rows)
 
 
+def unbalanced(code: str, language: str) -> list[tuple[int, int]]:
+    """Character ranges that cannot be parsed: from a bracket that never closes to what ends it (the closing bracket
+    around it, or the file), and the line of a closing bracket that nothing opened. Calls there are marked as errors."""
+    pairs, stack, out = {")": "(", "]": "[", "}": "{"}, [], []
+    for t in lex(code, language):
+        if t.kind in ("string", "comment"):
+            continue
+        if t.text in ("(", "[", "{"):
+            stack.append(t)
+        elif t.text in pairs:
+            if not any(s.text == pairs[t.text] for s in stack):
+                out.append((code.rfind("\n", 0, t.start) + 1, t.end))
+                continue
+            while stack[-1].text != pairs[t.text]:
+                out.append((stack.pop().start, t.start))
+            stack.pop()
+    return out + [(t.start, len(code)) for t in stack]
+
+
 def encoded_offsets(code: str):
     """Byte offsets of character offsets."""
     if code.isascii():
         return lambda at: at
-    return lambda at: len(code[:at].encode("utf-8", "replace"))
+    import numpy as np
+
+    ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in code])
+    return lambda at: int(ends[at - 1]) if at else 0
 
 
 def rust_paths(body: str) -> list[tuple[str, str | None]]:

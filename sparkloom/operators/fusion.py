@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,23 @@ def rrf(channels: list[DataFrame], k: int = RRF_K, weights: dict[str, float] | N
     return out.select("id", "score", source.alias("source"))
 
 
+def dense_and(dense: DataFrame, sparse) -> tuple[DataFrame, DataFrame | None]:
+    """The dense channel (id, score) and the rows of sparse(), a function that gives the sparse channel, limited.
+
+    sparse() is run here. Where it fails, the second is None and a warning says why."""
+    try:
+        found = sparse()
+        return dense, found.sparkSession.createDataFrame(found.collect(), found.schema)
+    except Exception as e:
+        warnings.warn(f"the sparse channel failed, dense hits only: {type(e).__name__}", stacklevel=2)
+        return dense, None
+
+
+def dense_only(dense: DataFrame) -> DataFrame:
+    """Hits of the dense channel with their own scores."""
+    return dense.select("id", "score", F.lit("DenseOnly").alias("source"))
+
+
 def merge_lines(fused: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """fused with line_start and line_end: the dense channel's where it has any (not 0), else the sparse one's."""
     d = dense.select("id", F.col("line_start").alias("ds"), F.col("line_end").alias("de"))

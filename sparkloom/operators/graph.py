@@ -142,20 +142,19 @@ def peel(calls: DataFrame, nodes: DataFrame, most_levels: int = 10_000) -> tuple
 
     A node's level is the length of the longest path to it. One job per level; RuntimeError if most_levels do not end it."""
     e = cut(edges(calls).select("src", "dst").distinct())
-    left, done = cut(nodes.select("id").distinct()), None
-    for level in range(most_levels):
-        ready = cut(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
+    needs = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("needs"))
+    # every node with the calls to it that are still open; one table, written once a level, holds levels and counts
+    state = cut(nodes.select("id").distinct().join(needs, "id", "left").select("id", F.coalesce("needs", F.lit(0)).alias("needs"), F.lit(None).cast("int").alias("level")))
+    ready = F.col("level").isNull() & (F.col("needs") == 0)
+    for level in range(most_levels + 1):
+        n_ready = state.where(ready).count()
+        if not n_ready:
             break
-        done = ready if done is None else done.unionByName(ready)
-        left = cut(left.join(ready, "id", "left_anti"))
-        e = cut(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-    else:
-        if not left.join(e.select(F.col("dst").alias("id")), "id", "left_anti").isEmpty():
+        if level == most_levels:
             raise RuntimeError(f"the call graph has more than {most_levels} levels")
-    if done is None:
-        done = left.limit(0).withColumn("level", F.lit(0))
-    return done, left
+        met = e.join(state.where(ready).select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("met"))
+        state = cut(state.join(met, "id", "left").select("id", (F.col("needs") - F.coalesce("met", F.lit(0))).alias("needs"), F.when(ready, F.lit(level)).otherwise(F.col("level")).alias("level")))
+    return state.where("level is not null").select("id", "level"), state.where("level is null").select("id")
 
 
 def has_cycles(calls: DataFrame, functions: DataFrame) -> bool:
@@ -283,25 +282,34 @@ def render_tree(pairs: list[tuple], names: dict, root, depth: int) -> dict:
         after.setdefault(a, []).append(b)
     seen = {root}
 
-    def visit(node, left):
-        kids = []
-        for k in sorted(after.get(node, ())) if left else ():
-            if k not in seen:
-                seen.add(k)
-                kids.append(visit(k, left - 1))
-        return {"name": names.get(node, str(node)), "children": kids}
-
-    return visit(root, depth)
+    top = {"name": names.get(root, str(root)), "children": []}
+    stack = [(top, iter(sorted(after.get(root, ()))), depth)]  # no recursion: a chain may be longer than Python's stack
+    while stack:
+        tree, rest, left = stack[-1]
+        k = next((x for x in rest if x not in seen), None) if left else None
+        if k is None:
+            stack.pop()
+            continue
+        seen.add(k)
+        tree["children"].append({"name": names.get(k, str(k)), "children": []})
+        stack.append((tree["children"][-1], iter(sorted(after.get(k, ()))), left - 1))
+    return top
 
 
 def indented(tree: dict, level: int = 0) -> str:
-    return "\n".join(["  " * level + tree["name"], *(indented(k, level + 1) for k in tree["children"])])
+    lines, stack = [], [(tree, level)]
+    while stack:
+        node, at = stack.pop()
+        lines.append("  " * at + node["name"])
+        stack += [(k, at + 1) for k in reversed(node["children"])]
+    return "\n".join(lines)
 
 
-def call_tree(calls: DataFrame, functions: DataFrame, symbol: str, depth: int, direction: str = "callees") -> dict:
+def call_tree(calls: DataFrame, functions: DataFrame, symbol: str, depth: int, direction: str = "callees", most_edges: int = 100_000) -> dict:
     """The nested tree of one symbol; the first overload is the centre; {} if it is unknown.
 
-    Only the edges within `depth` of the centre come to the driver."""
+    Only the edges within `depth` of the centre come to the driver, and are counted before: a display of more than
+    most_edges is refused (ValueError), as bfs() gives the same functions as a table of any size."""
     centre = find_by_name(functions, symbol).orderBy("file_path", "line_start", "id").first()
     if centre is None:
         return {}
@@ -311,7 +319,11 @@ def call_tree(calls: DataFrame, functions: DataFrame, symbol: str, depth: int, d
     if direction == "callers":
         e = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     inner = near.where(F.col("depth") < depth).select(F.col("id").alias("src"))
-    pairs = [tuple(r) for r in e.join(inner, "src", "left_semi").collect()]
+    inner_edges = cut(e.join(inner, "src", "left_semi"))
+    n = inner_edges.count()
+    if n > most_edges:
+        raise ValueError(f"a tree of {n} calls is no display; use bfs, or a smaller depth")
+    pairs = [tuple(r) for r in inner_edges.collect()]
     names = dict(functions.join(near.select("id"), "id", "left_semi").select("id", "name").collect())
     return render_tree(pairs, names, centre["id"], depth)
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,20 +96,70 @@ class Snapshots:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(path)
 
-    def prune(self) -> int:
-        """Deletes all versions but the current one."""
-        keep, n = self.current(), 0
+    def prune(self, older_than: float = 0.0) -> int:
+        """Deletes the versions that are not current and were written over older_than seconds ago."""
+        keep, n, least = self.current(), 0, (time.time() - older_than) * 1000
         for f in self.fs.listStatus(self._path(self.root)):
             name = f.getPath().getName()
-            if name.startswith("v-") and name != f"v-{keep}":
+            if name.startswith("v-") and name != f"v-{keep}" and f.getModificationTime() <= least:
                 self.fs.delete(f.getPath(), True)
                 n += 1
         return n
 
+    @contextmanager
+    def exclusive(self, wait: float = 60.0, stale: float = 6 * 3600.0):
+        """The writers' lock: a file that is created only if it is not there. TimeoutError after `wait` seconds; a lock
+        of over `stale` seconds is one whose owner died, and is taken over."""
+        lock, until, me = self._path(f"{self.root}/LOCK"), time.time() + wait, uuid.uuid4().hex
+        self.fs.mkdirs(self._path(self.root))
+        while True:
+            try:
+                stream = self.fs.create(lock, False)
+                stream.write(me.encode())
+                stream.close()
+                break
+            except Exception as e:
+                if not self.fs.exists(lock):
+                    if time.time() > until:
+                        raise
+                elif time.time() * 1000 - self.fs.getFileStatus(lock).getModificationTime() > stale * 1000:
+                    self.fs.delete(lock, False)
+                    continue
+                elif time.time() > until:
+                    raise TimeoutError(f"another writer holds {lock.toString()}") from e
+                time.sleep(0.2)
+        try:
+            yield
+        finally:
+            self.fs.delete(lock, False)
+
     def drop(self) -> None:
         self.fs.delete(self._path(self.root), True)
 
 
+# Names of the ways to store a graph.
+MODES = ("parquet", "json", "both")
+
+
+def save_graph(functions: DataFrame, calls: DataFrame, folder: str, mode: str = "parquet") -> None:
+    """Functions and calls as tables in a folder: Parquet, JSON lines or both."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    for name, df in (("functions", functions), ("calls", calls)):
+        for kind in MODES[:2]:
+            if mode in (kind, "both"):
+                df.write.mode("overwrite").format(kind).save(f"{folder.rstrip('/')}/{name}.{kind}")
+
+
+def load_graph(spark: SparkSession, folder: str, functions: str, calls: str, mode: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """The functions and calls of a folder, with these DDL schemas; `both` reads Parquet."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    kind = "json" if mode == "json" else "parquet"
+    f, c = (spark.read.schema(ddl).format(kind).load(f"{folder.rstrip('/')}/{name}.{kind}") for name, ddl in (("functions", functions), ("calls", calls)))
+    return f, c
+
+
 def compact(df: DataFrame, target_rows: int = 1 << 20) -> DataFrame:
     """df dealt into files of about target_rows rows."""
     return df.repartition(max(1, -(-df.count() // target_rows)))

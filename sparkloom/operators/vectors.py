@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_bytes
+from ..session import cut
 
 
 class EmbeddingProvider(Protocol):
@@ -66,8 +67,8 @@ def cache_misses(chunks: DataFrame, cache: DataFrame, model: str, text: str = "c
 
 
 def embed_cached(chunks: DataFrame, cache: DataFrame, provider: EmbeddingProvider, text: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(chunks with vector, new cache rows). Only texts that the cache lacks are embedded."""
-    fresh = embed(cache_misses(chunks, cache, provider.model, text), provider, text).select("hash", "vector")
+    """(chunks with vector, new cache rows). Only texts that the cache lacks are embedded, once: their vectors are written."""
+    fresh = cut(embed(cache_misses(chunks, cache, provider.model, text), provider, text).select("hash", "vector"))
     every = cache.select("hash", "vector").unionByName(fresh)
     out = chunks.withColumn("hash", cache_key(provider.model, F.col(text))).join(every, "hash").drop("hash")
     return out, fresh
@@ -91,38 +92,65 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_column: str = "id", c
     return near.withColumn("score", 1 / (1 + F.col("distance"))).orderBy(F.round("distance", 9), id_column).limit(k)
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256, rows: int = 4096) -> DataFrame:
-    """query_id, id, distance, rank: the k nearest of `vectors` (id, vector) for each of `queries` (query_id, vector).
-
-    Queries are broadcast in blocks of query_block; a task keeps k candidates per query from each
-    batch, by one matrix product, and only these are shuffled."""
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = 64 << 20, salts: int = 32) -> DataFrame:
+    """query_id, id, distance, rank: the k nearest of `vectors` (id, vector) for each of `queries` (query_id, vector); ties by id.
+
+    Queries are broadcast in blocks of at most block_bytes, each of which takes one pass over the vectors. A task
+    keeps the k best of its whole partition for every query of the block, and only these are shuffled: first
+    among the tasks of a salt, then among salts, so that no task gathers more than its share of the tasks' bests."""
+    spark, kinds = queries.sparkSession, (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
+    dims = queries.select(F.max(F.size("vector"))).first()[0]
+    ddl = f"query_id {kinds[0]}, id {kinds[1]}, distance double, salt int"
+    out = spark.createDataFrame([], ddl)
+    if dims:
+        asked, each = of_dims(queries.select("query_id", "vector"), dims), max(1, block_bytes // (8 * dims))
+        blocks = -(-asked.count() // each)
+        for i in range(blocks):
+            part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+            out = out.unionByName(nearest_of_block(part, of_dims(vectors, dims), k, salts, ddl))
+    top = lambda df, *by: df.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
+    first = top(out, "query_id", "salt").select("query_id", F.explode("best").alias("b")).select("query_id", "b.*")
+    return top(first, "query_id").select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", "b.id", "b.distance", (F.col("rank") + 1).alias("rank"))
+
+
+def nearest_of_block(queries: DataFrame, vectors: DataFrame, k: int, salts: int, ddl: str, rows: int = 512) -> DataFrame:
+    """The k best rows of every partition of vectors for every query; equal distances keep the smallest ids."""
     import numpy as np
 
-    spark, out = queries.sparkSession, None
-    rows_q = sorted(((r[0], r[1]) for r in queries.select("query_id", "vector").toLocalIterator()), key=lambda r: r[0])
-    for at in range(0, len(rows_q), query_block):
-        part = rows_q[at : at + query_block]
-        shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], dtype=np.float64)))
-
-        def run(frames, shared=shared):
-            import pandas as pd
-
-            ids, q = shared.value
-            for pdf in frames:
-                x = np.stack(pdf["vector"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, q.shape[1]))
-                d = ((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1)[None, :]).clip(0)
-                n = min(k, len(pdf))
-                if n:
-                    best = np.argpartition(d, n - 1, axis=1)[:, :n]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": pdf["id"].to_numpy()[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
-
-        kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString())
-        found = of_dims(vectors, len(part[0][1])).select("id", "vector").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return queries.select("query_id").limit(0).withColumn("id", F.lit(None).cast(vectors.schema["id"].dataType)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(0))
-    best = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", "b.id", "b.distance", (F.col("rank") + 1).alias("rank"))
+    got = queries.toPandas()
+    if got.empty:
+        return queries.sparkSession.createDataFrame([], ddl)
+    shared = queries.sparkSession.sparkContext.broadcast((got["query_id"].to_numpy(), np.stack(got["vector"].to_numpy()).astype(np.float64)))
+
+    def run(frames):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        ids, q = shared.value
+        best_d, best_id, q2 = None, None, (q * q).sum(1)
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+            own, x2 = pdf["id"].to_numpy(), (x * x).sum(1)
+            if best_d is None:
+                best_d, best_id = np.full((len(q), k), np.inf), np.empty((len(q), k), dtype=own.dtype)
+            for a in range(0, len(q), rows):
+                d = (q2[a : a + rows, None] - 2 * q[a : a + rows] @ x.T + x2[None, :]).clip(0)
+                both = np.concatenate((best_d[a : a + rows], d), axis=1)
+                names = np.concatenate((best_id[a : a + rows], np.broadcast_to(own, d.shape)), axis=1)
+                bar = np.partition(both, k - 1, axis=1)[:, k - 1 : k]
+                tied = (both <= bar).sum(axis=1) > k
+                at = np.argpartition(both, k - 1, axis=1)[:, :k]
+                for i in np.flatnonzero(tied & np.isfinite(bar[:, 0])):
+                    close = np.flatnonzero(both[i] <= bar[i])
+                    at[i] = close[np.lexsort((names[i][close], both[i][close]))][:k]
+                best_d[a : a + rows], best_id[a : a + rows] = np.take_along_axis(both, at, 1), np.take_along_axis(names, at, 1)
+        if best_d is not None:
+            keep = np.isfinite(best_d)
+            yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "id": best_id[keep], "distance": best_d[keep], "salt": TaskContext.get().partitionId() % salts})
+
+    return vectors.select("id", "vector").mapInPandas(run, ddl)
 
 
 def drop_vanished(hits: DataFrame, files: DataFrame) -> DataFrame:

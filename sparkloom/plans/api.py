@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..operators import bm25, extract, fusion, graph, incremental, resolve, skel
 from ..sources import files as sources
 from ..streaming import watch
 
+#: So long an index keeps its old versions, for readers that hold them.
+KEEP_SECONDS = 3600.0
 FIELDS = {"content": "content", "symbol_name": "symbol_name"}
 POSTINGS = "id string, field string, term string, n_tokens long, tf long"
 
@@ -49,9 +52,17 @@ class Index:
 def build_index(spark: SparkSession, root: str | DataFrame, out: str, config: sources.Config | None = None, provider=None) -> IndexStats:
     """Scans root (a folder, or a FILES table), updates the index in out and publishes a new version.
 
-    Extraction, embedding and postings run for new and changed files only; deletes reach every
-    table. Calls are resolved anew, as a name's target may have moved to another file."""
+    Extraction and embedding run for new and changed texts only; postings, chunks and calls are made
+    anew from the symbols, which takes no parsing; deletes reach every
+    table. Calls are resolved anew, as a name's target may have moved to another file. One builder at a time:
+    another one waits for the lock of the index; readers keep the version that they opened."""
     index = Index(spark, out, config, provider)
+    with index.store.exclusive():
+        return update(index, root)
+
+
+def update(index: Index, root: str | DataFrame) -> IndexStats:
+    spark = index.spark
     scanned = sources.scan(spark, root) if isinstance(root, str) else root
     found = skip_compiled(scanned).select("path", "content", "md5", "size", "language", "mtime")
     status = incremental.classify(index.hashes, incremental.hashes(found)).cache()
@@ -63,7 +74,7 @@ def build_index(spark: SparkSession, root: str | DataFrame, out: str, config: so
     symbols = incremental.replace_files(index.symbols, new_symbols, stale)
     files = incremental.replace_files(index.files, fresh, stale, "path")
     version_tables = {"files": files, "symbols": symbols, "hashes": incremental.hashes(files)}
-    staged = incremental.Snapshots(spark, f"{out.rstrip('/')}/staging")
+    staged = incremental.Snapshots(spark, f"{index.store.root}/staging-{uuid.uuid4().hex[:12]}")
     staged.write(version_tables)
     files, symbols, hashes = (staged.read(n) for n in ("files", "symbols", "hashes"))
     functions, classes = extract.functions_of(symbols, files), extract.classes_of(symbols, files)
@@ -76,7 +87,7 @@ def build_index(spark: SparkSession, root: str | DataFrame, out: str, config: so
     tables["field_stats"] = bm25.field_stats(chunks, "snippet_id", FIELDS, index.config.tokenizer)
     version = index.store.write(tables)
     staged.drop()
-    index.store.prune()
+    index.store.prune(KEEP_SECONDS)
     return IndexStats(version, *(counts.get(k, 0) for k in ("new", "changed", "unchanged", "deleted")))
 
 
@@ -89,16 +100,25 @@ def status(index: Index, root: str = "") -> DataFrame:
     return out.select(F.lit(root).alias("root"), F.lit(sources.project_id(root)).alias("hash"), F.lit(index.store.root).alias("index_dir"), "total_functions", "total_files", F.lit(index.store.current() is not None).alias("indexed"))
 
 
-def search(index: Index, query: str, limit: int = 10, tokenizer: str | None = None, rerank=None) -> DataFrame:
-    """Fused hits: id, score, source and the chunk's columns, best first; functions of that name where nothing hits."""
+def search(index: Index, query: str, limit: int = 10, tokenizer: str | None = None, rerank=None, text_search: bm25.TextSearchProvider | None = None, present: DataFrame | None = None) -> DataFrame:
+    """Fused hits: id, score, source and the chunk's columns, best first; functions of that name where nothing hits.
+
+    text_search takes the place of the index's own sparse channel; where that fails, dense hits keep their own scores.
+    present: the files (path) that still exist; dense hits in others are dropped behind the top-k."""
     c, chunks = index.config, index.chunks
     pool = max(c.channel_limit, limit)
     dense = vectors.knn(index.vectors, index.provider.embed([query])[0], pool).select("id", "score")
-    channels = [fusion.ranked(dense, "dense", [F.desc(F.round("score", 9)), "id"])]
+    if present is not None:
+        dense = vectors.drop_vanished(dense.join(chunks.select(F.col("snippet_id").alias("id"), "file_path"), "id"), present).select("id", "score")
     built = tokenizer in (None, c.tokenizer)  # else the postings of the other tokenizer are made now
-    sparse = bm25.search(chunks, "snippet_id", query, pool, FIELDS, tokenizer or c.tokenizer, post=index.postings if built else None, stats=index.field_stats if built else None)
-    channels.append(fusion.ranked(sparse, "sparse", [F.desc(F.round("score", 9)), "id"]))
-    fused = fusion.rrf(channels, c.rrf_k)
+    own = lambda: bm25.search(chunks, "snippet_id", query, pool, FIELDS, tokenizer or c.tokenizer, post=index.postings if built else None, stats=index.field_stats if built else None)
+    given = lambda: text_search.search(query, pool).select("id", "score").limit(pool)
+    dense, sparse = fusion.dense_and(dense, given if text_search is not None else own)
+    order = [F.desc(F.round("score", 9)), "id"]
+    if sparse is None:
+        fused = fusion.dense_only(dense)
+    else:
+        fused = fusion.rrf([fusion.ranked(dense, "dense", order), fusion.ranked(sparse, "sparse", order)], c.rrf_k)
     if c.rrf_top_k:
         fused = fused.orderBy(F.desc("score"), "id").limit(c.rrf_top_k)
     hits = fused.join(chunks.withColumnRenamed("snippet_id", "id"), "id")

@@ -109,7 +109,7 @@ def test_embedding_cache(spark):
 def test_knn_join_against_knn(spark):
     rows = [(i, [float(i % 7), float(i % 5), float(i % 3)]) for i in range(60)]
     v = spark.createDataFrame(rows, "id long, vector array<float>")
-    got = vectors.knn_join(v.where("id < 3").withColumnRenamed("id", "query_id"), v, 4, query_block=2)
+    got = vectors.knn_join(v.where("id < 3").withColumnRenamed("id", "query_id"), v, 4, block_bytes=48)
     for q in range(3):
         want = [round(r["distance"], 6) for r in vectors.knn(v, rows[q][1], 4).collect()]
         assert [round(r["distance"], 6) for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == want
