@@ -21,7 +21,7 @@ vocabulary), bigram counts of units (at most (head_units + pools + 1)**2 sums, w
 class contexts of the words of step 2 (at most 2 * (classes + 1) sums for each, judged on the executors),
 and token and type counts of the classes.
 
-Scoring reads every text once. Words of steps 1 and 2 are looked up in a broadcast bounded by head_words;
+Texts are read twice, to count words and to write them as numbers, which all further passes read. Words of steps 1 and 2 are looked up in a broadcast bounded by head_words;
 all others, which are rare by definition and so cannot make one hot key, go to a join with their table, with
 the classes before them, and come back as sums per document.
 
@@ -32,6 +32,7 @@ unseen type's, so the base score is 0; extra columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import math
 import warnings
 import zlib
@@ -178,14 +179,59 @@ def word_counts(texts: DataFrame, flush: int = 250_000) -> DataFrame:
     return texts.mapInArrow(run, COUNTS).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def pair_sums(texts: DataFrame, pairs_of, flush: int = 4_000_000) -> DataFrame:
-    """pair and n: how often each of the numbers that pairs_of(words) gives occurs over all texts; summed per task before the shuffle."""
+ENCODED = "row long, doc_id long, held boolean, ids binary, tail array<binary>"
+
+
+def encode(documents: DataFrame, held: Column, rank, pools: int) -> DataFrame:
+    """ENCODED of every document: int32 ids of its words - the rank, or minus one less the pool - and its words without a rank.
+
+    Texts are split once here; all later passes read numbers."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        ranks, row, endings = rank.value, TaskContext.get().partitionId() << 33, {}
+        for b in batches:
+            rows = []
+            for doc_id, text, out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                row += 1
+                words = words_of(text.as_py())
+                ids = np.fromiter(map(ranks.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+                at = np.flatnonzero(ids < 0).tolist()
+                tail = [words[i] for i in at]
+                for i, w in zip(at, tail, strict=True):
+                    e = w[-3:]
+                    k = endings.get(e)
+                    if k is None:
+                        k = endings[e] = -1 - pool_of(w, pools)
+                    ids[i] = k
+                if len(endings) > 200_000:
+                    endings.clear()
+                rows.append((row, doc_id, out, ids.tobytes(), tail))
+            yield arrow_batch(ENCODED, rows)
+        trim_memory()
+
+    return scan(documents.withColumn("brown_held", held), "doc_id", "text", "brown_held").mapInArrow(run, ENCODED)
+
+
+class Lookup:
+    """Numbers of encoded words: by rank, or by pool."""
+
+    def __init__(self, of_rank, of_pool):
+        self.all = np.array([*of_rank, *of_pool[::-1]], dtype=np.int64)  # a negative id counts from the end: -1 is pool 0
+
+    def of(self, raw: bytes) -> np.ndarray:
+        return self.all[np.frombuffer(raw, np.int32)]
+
+
+def pair_sums(encoded: DataFrame, pairs_of, flush: int = 4_000_000) -> DataFrame:
+    """pair and n: how often each of the numbers that pairs_of(ids) gives occurs over all texts; summed per task before the shuffle."""
 
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for text in b.column(0):
-                held.append(pairs_of(words_of(text.as_py())))
+            for raw in b.column(0).to_pylist():
+                held.append(pairs_of(raw))
                 size += len(held[-1])
                 if size > flush:
                     yield from pieces(held)
@@ -201,38 +247,39 @@ def pair_sums(texts: DataFrame, pairs_of, flush: int = 4_000_000) -> DataFrame:
         for i in range(0, len(pair), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(pair[i : i + 200_000]), pa.array(n[i : i + 200_000].astype(np.int64))], names=["pair", "n"])
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def unit_bigrams(texts: DataFrame, units, n_units: int) -> DataFrame:
+def unit_bigrams(encoded: DataFrame, units, n_units: int) -> DataFrame:
     """pair (first * n_units + second) and n over all texts; unit n_units - 1 is the end."""
 
-    def pairs_of(words):
-        ids = np.concatenate(([n_units - 1], units.value.of(words)[0], [n_units - 1]))
+    def pairs_of(raw):
+        ids = np.concatenate(([n_units - 1], units.value.of(raw), [n_units - 1]))
         return ids[:-1] * n_units + ids[1:]
 
-    return pair_sums(texts, pairs_of)
+    return pair_sums(encoded, pairs_of)
 
 
-def head_classes(texts: DataFrame, classes, least_rank: int, end: int, gains) -> np.ndarray:
+def head_classes(encoded: DataFrame, classes, least_rank: int, end: int, gains) -> np.ndarray:
     """Ranks from least_rank on and the classes of greatest gain, by the classes around these words in all texts."""
     width = 2 * (end + 1)
 
-    def pairs_of(words):
-        ids, rank = classes.value.of(words)
-        ids = np.concatenate(([end], ids, [end]))
+    def pairs_of(raw):
+        rank = np.frombuffer(raw, np.int32)
+        ids = np.concatenate(([end], classes.value.of(raw), [end]))
         at = np.flatnonzero(rank >= least_rank)
-        return np.concatenate((rank[at] * width + ids[at], rank[at] * width + end + 1 + ids[at + 2]))
+        own = rank[at].astype(np.int64) * width
+        return np.concatenate((own + ids[at], own + end + 1 + ids[at + 2]))
 
-    found = pair_sums(texts, pairs_of).select(F.expr(f"pair div {width}").alias("rank"), (F.col("pair") % width).cast("int").alias("code"), "n")
+    found = pair_sums(encoded, pairs_of).select(F.expr(f"pair div {width}").alias("rank"), (F.col("pair") % width).cast("int").alias("code"), "n")
     per = found.groupBy("rank").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("times"))
 
     def judge(batches):
         for b in batches:
-            ranks, codes, times = (c.to_pylist() for c in b.columns)
+            ranks, codes, times = b.column(0).to_pylist(), b.column(1), b.column(2)
+            row = np.repeat(np.arange(len(ranks)), np.diff(codes.offsets.to_numpy()))
             m = np.zeros((len(ranks), width))
-            for row, c, n in zip(m, codes, times, strict=True):
-                row[c] = n
+            m[row, codes.flatten().to_numpy()] = times.flatten().to_numpy()
             best = gains.value.best(m[:, : end + 1], m[:, end + 1 :])
             yield arrow_batch("rank long, k int", list(zip(ranks, best.tolist(), strict=True)))
 
@@ -242,22 +289,25 @@ def head_classes(texts: DataFrame, classes, least_rank: int, end: int, gains) ->
 TAIL = "word binary, before binary, code long, n long"
 
 
-def tail_contexts(texts: DataFrame, classes, end: int, flush: int = 2_000_000) -> DataFrame:
+def tail_contexts(encoded: DataFrame, classes, end: int, flush: int = 2_000_000) -> DataFrame:
     """Rows of TAIL: the classes before every occurrence of a word without a rank, gathered per task; and, with null word,
     counts n of the other transitions, code = class before * (end + 1) + class."""
 
     def run(batches):
         held, size, table = {}, 0, np.zeros((end + 1) ** 2, np.int64)
         for b in batches:
-            for text in b.column(0):
-                words = words_of(text.as_py())
-                ids, rank = classes.value.of(words)
+            for raw, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = classes.value.of(raw)
                 before, now = np.concatenate(([end], ids)), np.concatenate((ids, [end]))
-                plain = np.concatenate((rank >= 0, [True]))
+                tail = np.frombuffer(raw, np.int32) < 0
+                plain = np.concatenate((~tail, [True]))
                 table += np.bincount(before[plain] * (end + 1) + now[plain], minlength=len(table))
-                for i in np.flatnonzero(rank < 0).tolist():
-                    held.setdefault(words[i], bytearray()).append(before[i])
-                    size += 1
+                for w, k in zip(words, before[:-1][tail].tolist(), strict=True):
+                    x = held.get(w)
+                    if x is None:
+                        x = held[w] = bytearray()
+                    x.append(k)
+                size += len(words)
                 if size > flush:
                     yield from pieces(held)
                     held, size = {}, 0
@@ -270,7 +320,7 @@ def tail_contexts(texts: DataFrame, classes, end: int, flush: int = 2_000_000) -
         for i in range(0, len(rows), 50_000):
             yield arrow_batch(TAIL, rows[i : i + 50_000])
 
-    return texts.mapInArrow(run, TAIL)
+    return encoded.select("ids", "tail").mapInArrow(run, TAIL)
 
 
 KINDS = "word binary, c long, k int, code long, n long"
@@ -318,27 +368,36 @@ class Model:
         self.classes, self.transitions, self.emissions, self.total, self.end_count = classes, transitions, emissions, total, end_count
         self.head = np.log10(np.array(head, dtype=np.float64) + ALPHA)
 
+    def without_words(self) -> Model:
+        """A copy that knows no ranks, for tasks that read encoded words."""
+        out = copy.copy(self)
+        out.classes = Classes({}, [], self.classes.pools)
+        return out
 
-SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, before array<binary>"
 
+SCORED = "row long, doc_id long, held boolean, n_tokens long, n_known long, base double, score double, words array<binary>, before array<binary>"
 
-def train(training: DataFrame, classes: int = 48, head_units: int = 1000, pools: int = 400, head_words: int = 200_000, least_count: int = 3, beta: float = 5.0) -> tuple[Model, DataFrame, int]:
-    """The model, the table of words without a rank (word, c, k: its class) and the number of training tokens."""
+
+def train(documents: DataFrame, held: Column, classes: int = 48, head_units: int = 1000, pools: int = 400, head_words: int = 200_000, least_count: int = 3, beta: float = 5.0) -> tuple[Model, DataFrame, DataFrame, int]:
+    """From the documents that are not held: the model, the table of words without a rank (word, c, k: its class), ENCODED of
+    all documents, and the number of training tokens."""
     if not 0 < classes < 255:
         raise ValueError("classes must fit a byte")
-    sc = training.sparkSession.sparkContext
-    texts = scan(training, "doc_id", "text").select("text")
+    sc = documents.sparkSession.sparkContext
+    texts = scan(documents.where(~held), "doc_id", "text").select("text")
     counts = materialise(word_counts(texts), "brown-counts")
-    n_docs = texts.count()
     n_words, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, types, end = n_words + n_docs, types + (n_docs > 0), classes
     head = dict(sorted(most_frequent(counts, head_words), key=lambda x: (-x[1], x[0])))
     rank = {w: i for i, w in enumerate(head)}
+    every = materialise(encode(documents, held, sc.broadcast(rank), pools), "brown-encoded")
+    encoded = every.where("not held")
+    n_docs = encoded.count()
+    tokens, types, end = n_words + n_docs, types + (n_docs > 0), classes
     # 1: units
-    top = min(head_units, len(head))
+    top, in_pool = min(head_units, len(head)), [pool_of(w, pools) for w in rank]
     n_units = top + pools + 1
-    units = sc.broadcast(Classes(dict(list(rank.items())[:top]), list(range(top)), list(range(top, n_units - 1))))
-    found = unit_bigrams(texts, units, n_units).toArrow()
+    units = sc.broadcast(Lookup([i if i < top else top + k for i, k in enumerate(in_pool)], list(range(top, n_units - 1))))
+    found = unit_bigrams(encoded, units, n_units).toArrow()
     pair, n = found.column("pair").to_numpy(), found.column("n").to_numpy().astype(np.float64)
     rows, cols = pair // n_units, pair % n_units
     cls = exchange(rows, cols, n, n_units, classes, n_units - 1)
@@ -346,15 +405,15 @@ def train(training: DataFrame, classes: int = 48, head_units: int = 1000, pools:
     np.add.at(table, (cls[rows], cls[cols]), n)
     gains, of_pool = sc.broadcast(Gains(table)), [int(c) for c in cls[top : n_units - 1]]
     # 2: the other frequent words
-    of_rank = [int(cls[i]) if i < top else of_pool[pool_of(w, pools)] for w, i in rank.items()]
+    of_rank = [int(cls[i]) if i < top else of_pool[k] for i, k in enumerate(in_pool)]
     if len(head) > top:
-        moved = head_classes(texts, sc.broadcast(Classes(rank, of_rank, of_pool)), top, end, gains)
+        moved = head_classes(encoded, sc.broadcast(Lookup(of_rank, of_pool)), top, end, gains)
         for i, k in moved.tolist():
             of_rank[i] = k
-    shared = sc.broadcast(Classes(rank, of_rank, of_pool))
     # 3: all words, and the transitions
-    found = materialise(tail_contexts(texts, shared, end), "brown-contexts")
-    tail = materialise(tail_classes(found, shared, end, gains, least_count), "brown-tail")
+    final = Classes(rank, of_rank, of_pool)
+    found = materialise(tail_contexts(encoded, sc.broadcast(Lookup(of_rank, of_pool)), end), "brown-contexts")
+    tail = materialise(tail_classes(found, sc.broadcast(Classes({}, [], of_pool)), end, gains, least_count), "brown-tail")
     seen = lambda df: df.where("word is null").select("code", "n")
     table[:] = 0
     for code, times in seen(found).unionByName(seen(tail)).groupBy("code").agg(F.sum("n")).collect():
@@ -369,33 +428,31 @@ def train(training: DataFrame, classes: int = 48, head_units: int = 1000, pools:
         sums[:, k] += c, v
     emissions = np.log10(sums[0] + ALPHA * (sums[1] + 1))
     emissions[end] = math.log10(ALPHA)
-    return Model(shared.value, transitions, emissions, list(head.values()), math.log10(tokens + ALPHA * (types + 1)), n_docs), tail, tokens
+    return Model(final, transitions, emissions, list(head.values()), math.log10(tokens + ALPHA * (types + 1)), n_docs), tail, every, tokens
 
 
-def score(documents: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def score(encoded: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
+    """doc_id, held, n_tokens, n_known, base_score and score of every row."""
+    sc, whole = encoded.sparkSession.sparkContext, model.classes
+    lookup = sc.broadcast(Lookup(whole.of_rank.tolist(), whole.pools))
+    shared = sc.broadcast(model.without_words())
 
     def run(batches):
-        from pyspark import TaskContext
-
-        m, row = shared.value, TaskContext.get().partitionId() << 33
+        m, classes = shared.value, lookup.value
         end = len(m.emissions) - 1
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                row += 1
-                words = words_of(text.as_py())
-                ids, rank = m.classes.of(words)
+            for row, doc_id, held, raw, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rank, ids = np.frombuffer(raw, np.int32), classes.of(raw)
                 plain = rank >= 0
                 before, own = np.concatenate(([end], ids)), ids[plain]
                 logs = float(m.head[rank[plain]].sum()) if len(own) else 0.0
-                base = math.log10(m.end_count + ALPHA) - (len(words) + 1) * m.total + logs
+                base = math.log10(m.end_count + ALPHA) - (len(ids) + 1) * m.total + logs
                 total = float(m.transitions[before[:-1][plain], own].sum() - m.emissions[own].sum() + m.transitions[before[-1], end]) + logs
-                tail: dict[bytes, bytearray] = {}
-                for i in np.flatnonzero(~plain).tolist():
-                    tail.setdefault(words[i], bytearray()).append(before[i])
-                rows.append((row, doc_id, len(words) + 1, len(own) + int(m.end_count > 0), base, total, list(tail), [bytes(x) for x in tail.values()]))
+                found: dict[bytes, bytearray] = {}
+                for w, k in zip(words, before[:-1][~plain].tolist(), strict=True):
+                    found.setdefault(w, bytearray()).append(k)
+                rows.append((row, doc_id, held, len(ids) + 1, len(own) + int(m.end_count > 0), base, total, list(found), [bytes(x) for x in found.values()]))
             yield arrow_batch(SCORED, rows)
         trim_memory()
 
@@ -414,22 +471,21 @@ def score(documents: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
             yield arrow_batch(parts, list(zip(rows, more.tolist(), classed.tolist(), np.where(c > 0, n, 0).tolist(), strict=True)))
         trim_memory()
 
-    local = materialise(scan(documents, "doc_id", "text").mapInArrow(run, SCORED), "brown-scores")
+    local = materialise(encoded.mapInArrow(run, SCORED), "brown-scores")
     rare = local.select("row", F.explode(F.arrays_zip("words", "before")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.before").alias("before"))
     joined = rare.join(tail, "word", "left").select("row", "word", "before", "c", "k")
     sums = joined.mapInArrow(look_up, parts).groupBy("row").agg(*(F.sum(x).alias(x) for x in ("more", "classed", "known")))
     zero = lambda x, of: F.col(x) + F.coalesce(of, F.lit(0))
-    return local.drop("words", "before").join(sums, "row", "left").select("doc_id", "n_tokens", zero("n_known", "known").alias("n_known"), zero("base", "more").alias("base_score"), zero("score", "classed").alias("score"))
+    return local.drop("words", "before").join(sums, "row", "left").select("doc_id", "held", "n_tokens", zero("n_known", "known").alias("n_known"), zero("base", "more").alias("base_score"), zero("score", "classed").alias("score"))
 
 
 def class_bigram_scores(documents: DataFrame, **params) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
-    held = is_held_out(F.col("doc_id"))
-    with scratch(documents.sparkSession, "brown-tail"):
-        model, tail, tokens = train(documents.where(~held), **params)
-    scored = score(documents, model, tail)
+    with scratch(documents.sparkSession, "brown-scores", "brown-tail"):
+        model, tail, encoded, tokens = train(documents, is_held_out(F.col("doc_id")), **params)
+        scored = score(encoded, model, tail)
     return scored.select(
-        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 

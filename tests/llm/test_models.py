@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import brown, langid, toxicity
 
@@ -237,7 +238,7 @@ def test_base_scores_and_counts(spark):
 
 def test_probabilities_of_the_next_word_sum_to_one(spark):
     rows = made(120)
-    model, tail, _ = brown.train(docs(spark, rows), classes=4, head_units=20, pools=5, head_words=60)
+    model, tail, *_ = brown.train(docs(spark, rows), F.lit(False), classes=4, head_units=20, pools=5, head_words=60)
     tail = [(bytes(r["word"]), r["c"], r["k"]) for r in tail.collect()]
     c = collections.Counter(w for _, t, _ in rows for w in brown.words_of(t))
     assert {w: n for w, n, _ in tail} == {w: n for w, n in c.items() if w not in model.classes.rank} and len(model.classes.rank) > 20
@@ -255,7 +256,7 @@ def test_scores_against_brute_force(spark):
     rows = [(i + 100, t, lang) for i, t, lang in made(150)] + HARD
     df, params = docs(spark, rows), {"classes": 6, "head_units": 15, "pools": 7, "head_words": 40}
     got = collections.Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in brown.class_bigram_scores(df, **params).collect())
-    model, tail, _ = brown.train(df.where(~brown.is_held_out(df["doc_id"])), **params)
+    model, tail, *_ = brown.train(df, brown.is_held_out(df["doc_id"]), **params)
     tail = {bytes(r["word"]): (r["c"], r["k"]) for r in tail.collect()}
     own = {w: (round(10 ** model.head[i] - 0.1), int(model.classes.of_rank[i])) for w, i in model.classes.rank.items()}
     want = collections.Counter()
