@@ -149,7 +149,7 @@ def bm25_phrase(spark, d):
     return bm25.phrase(table(spark, d, "documents"), "doc_id", "text", "of the", "default")
 
 
-@query("""SELECT doc_id, CAST(length(trim(text, E' \\t\\n\\r\\x0b\\x0c')) >= 16 AS BOOLEAN) AS long_enough, round(CASE WHEN length(trim(text)) < 30 THEN 1 - (1 - length(trim(text)) / 30.0) * 0.5 ELSE 1.0 END, 6) AS weight FROM documents""")
+@query("""SELECT doc_id, CAST(length(trim(text, E' \\t\\n\\r\\x0b\\x0c')) >= 16 AS BOOLEAN) AS long_enough, round(CASE WHEN length(trim(text, '""" + X.WHITE + """')) < 30 THEN 1 - (1 - length(trim(text, '""" + X.WHITE + """')) / 30.0) * 0.5 ELSE 1.0 END, 6) AS weight FROM documents""")
 def short_penalty(spark, d):
     return table(spark, d, "documents").select("doc_id", X.long_enough(F.col("text")).alias("long_enough"), F.round(X.short_penalty(F.lit(1.0), F.col("text")), 6).alias("weight"))
 
@@ -430,11 +430,11 @@ def unresolved_calls(spark, d):
 
 
 IDENT = "regexp_extract_all(coalesce(html, ''), '[a-zA-Z_$][a-zA-Z0-9_$]*')"
-WIDTH = "octet_length(encode(coalesce(html, ''))) / CAST(len(list_filter(string_split(coalesce(html, ''), chr(10)), lambda x: trim(x) <> '')) AS DOUBLE)"
+WIDTH = "octet_length(encode(coalesce(html, ''))) / CAST(len(list_filter(string_split(coalesce(html, ''), chr(10)), lambda x: trim(x, '" + X.WHITE + "') <> '')) AS DOUBLE)"
 MARKS = " OR ".join(f"contains(coalesce(html, ''), '{f}')" for f in D.FINGERPRINTS)
 
 
-@query(f"""SELECT page_id, CASE WHEN trim(coalesce(html, ''), E' \\t\\r\\n') = '' THEN 'Empty' WHEN {MARKS} THEN 'CompiledCode' WHEN {WIDTH} > 250 THEN 'CompiledCode'
+@query(f"""SELECT page_id, CASE WHEN trim(coalesce(html, ''), '{X.WHITE}') = '' THEN 'Empty' WHEN {MARKS} THEN 'CompiledCode' WHEN {WIDTH} > 250 THEN 'CompiledCode'
 WHEN len({IDENT}) < 50 THEN 'SourceCode' WHEN len(list_filter({IDENT}, lambda i: length(i) <= 2)) / CAST(len({IDENT}) AS DOUBLE) > 0.55 THEN 'CompiledCode' ELSE 'SourceCode' END AS code_type FROM pages""")
 def detector_class(spark, d):
     return D.detect(table(spark, d, "pages"), "html").select("page_id", "code_type")
@@ -565,7 +565,8 @@ def dot_lines(spark, d):
 
 @query("SELECT p_partkey AS id, '{\"id\":' || p_partkey || ',\"name\":\"' || p_name || '\",\"file\":\"' || p_brand || '\"}' AS json FROM part")
 def json_rows(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"))).alias("json"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"))
+    return export.to_json_rows(p).select(F.get_json_object("json", "$.id").cast("long").alias("id"), "json")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(text)) AS k FROM conversations)

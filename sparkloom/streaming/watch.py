@@ -81,6 +81,11 @@ def on_burst(bursts: DataFrame, action, checkpoint: str, name: str = "reindex"):
     return bursts.writeStream.queryName(name).outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run).start()
 
 
+def on_burst_into(bursts: DataFrame, folder: str, checkpoint: str):
+    """Starts a query that appends all bursts of the events so far to Parquet files in folder, and then ends."""
+    return bursts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+
+
 def drain(events: DataFrame, emitted_until) -> DataFrame:
     """Bursts of a batch of events that a stopped stream had not emitted: those that end after the time."""
     return debounce(events).where(F.col("last_ts") > F.lit(emitted_until))
