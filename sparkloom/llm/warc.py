@@ -34,7 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, fresh_path, materialise, scan
 
+# The magic number of the dictionary's frame, and the first bytes of a zstd frame.
 SKIPPABLE = 0x184D2A5D
+ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
+#: Bytes that a decoder is given at a time.
+STEP = 8192
 VERSION = b"WARC/1.1"
 SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
@@ -133,7 +137,9 @@ class ArchiveWriter:
 
 
 def read_archive(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The decoded frames of an archive, one record each."""
+    """The decoded frames of an archive, one record each. The dictionary may be a zstd frame itself.
+
+    A frame's end is found by decoding, so it is fed in steps: what is read beyond an end is at most a step."""
     import zstandard
 
     head = stream.read(8)
@@ -147,28 +153,36 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
         dictionary += more
     if len(dictionary) < size:
         raise WarcError("the archive ends in its dictionary")
+    if dictionary.startswith(ZSTD_MAGIC):
+        dictionary = zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    data = stream.read(chunk)
-    while data:
+    data, at = memoryview(stream.read(chunk)), 0
+    while len(data):
         one, out = decompressor.decompressobj(), io.BytesIO()
-        while True:
-            out.write(one.decompress(data))
-            if one.eof:
-                data = one.unused_data or stream.read(chunk)
-                break
-            data = stream.read(chunk)
-            if not data:
-                raise WarcError("the archive ends within a frame")
+        while not one.eof:
+            if at == len(data):
+                data, at = memoryview(stream.read(chunk)), 0
+                if not len(data):
+                    raise WarcError("the archive ends within a frame")
+            part = data[at : at + STEP]
+            out.write(one.decompress(part))
+            at += len(part)
+        at -= len(one.unused_data)
+        if at == len(data):
+            data, at = memoryview(stream.read(chunk)), 0
         yield out.getvalue()
 
 
 def train_dictionary(pages: DataFrame, sample_pages: int = 400, size: int = 16_384) -> bytes:
-    """A zstd dictionary from at most sample_pages pages of up to 64 KB; empty if they don't suffice.
+    """A zstd dictionary from at most sample_pages texts of up to 64 KB, those of the lowest hash; empty if they don't suffice.
 
     Only the dictionary rests on the sample; every page is archived whole."""
     import zstandard
 
-    texts = [r[0].encode() for r in pages.select(F.substring("html", 1, 65_536).alias("html")).where("length(html) > 0").limit(sample_pages).collect()]
+    texts = pages.select(F.xxhash64("html").alias("h"), "html").where("length(html) > 0")
+    chosen = texts.select("h").distinct().orderBy("h").limit(sample_pages)
+    rows = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.substring("html", 1, 65_536)).alias("html")).collect()
+    texts = [r["html"].encode("utf-8", "replace") for r in sorted(rows, key=lambda r: r["h"])]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes() if len(texts) >= 20 else b""
     except zstandard.ZstdError:
@@ -258,6 +272,7 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame
 
 
 def op5_warc(spark, sf_dir):
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, by way of archives; nulls and ties as stated above."""
     from .common import table
 
     pages = table(spark, sf_dir, "pages")

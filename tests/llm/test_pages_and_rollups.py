@@ -166,6 +166,34 @@ def test_archive_round_trip():
     assert warc.parse_record(records[1])[2:5] == ("revisit", 1, 0)
 
 
+def test_a_compressed_dictionary_and_many_small_frames():
+    import struct
+
+    import zstandard
+
+    records = [warc.record_bytes(i, f"http://a/{i}", b"<p>same words on every page %d" % i * (1 + i % 7)) for i in range(500)]
+    raw = zstandard.train_dictionary(2048, records).as_bytes()
+    out = io.BytesIO()
+    w = warc.ArchiveWriter(out, raw)
+    for r in records:
+        w.write(r)
+    packed = zstandard.ZstdCompressor().compress(raw)
+    other = struct.pack("<II", warc.SKIPPABLE, len(packed)) + packed + out.getvalue()[8 + len(raw) :]
+    for chunk in (64, 5000, 1 << 20):
+        assert list(warc.read_archive(io.BytesIO(out.getvalue()), chunk)) == records
+        assert list(warc.read_archive(io.BytesIO(other), chunk)) == records
+
+
+def test_empty_and_long_pages_and_the_same_dictionary(spark):
+    none = pages(spark, [])
+    assert warc.read_archives(warc.write_archives(none, fresh_path(spark, "w"), warc.train_dictionary(none))).count() == 0
+    rows = [(i, "u", f"<p>page {i} of the site " * (20_000 if i == 7 else 1 + i % 5)) for i in range(60)] * 2
+    a, b = (warc.train_dictionary(pages(spark, rows).repartition(n)) for n in (2, 5))
+    assert a == b and len(a) > 0
+    got = warc.read_archives(warc.write_archives(pages(spark, rows), fresh_path(spark, "w"), a)).where("page_id = 7").collect()
+    assert [r["payload_bytes"] for r in got] == [len(rows[7][2])] * 2
+
+
 @pytest.mark.parametrize("damage", [lambda r: r.replace(b"WARC/1.1", b"WARC/9.9", 1), lambda r: r[:-1], lambda r: r.replace(b"<p>", b"<q>"), lambda r: r.replace(b"WARC-Date", b"WARC-Dato"), lambda r: r + b"x", lambda r: r.replace(b"WARC-Type: response", b"WARC-Type: other")])
 def test_broken_records_are_found(damage):
     with pytest.raises(warc.WarcError):
