@@ -169,18 +169,18 @@ def draw(docs: DataFrame, ids: DataFrame, n: int) -> list[np.ndarray]:
     """Features of at most n texts of the ids, those of the lowest hash, one of a group of copies; made on the executors.
 
     The ids, bounded by n, are broadcast, so that the texts are filtered where they are read."""
-    ddl = "place long, places array<long>, sketch array<long>"
+    ddl = "place long, places binary, sketch binary"
 
     def featurize(batches):
         for b in batches:
             places, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i in range(0, len(texts), 200):
-                yield arrow_batch(ddl, [(p, places_of(t).tolist(), sketch_of(t)) for p, t in zip(places[i : i + 200], texts[i : i + 200], strict=True)])
+                yield arrow_batch(ddl, [(p, places_of(t).tobytes(), np.array(sketch_of(t), np.uint32).tobytes()) for p, t in zip(places[i : i + 200], texts[i : i + 200], strict=True)])
         trim_memory()
 
     picked = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias("place"), "text")
     rows = picked.mapInArrow(featurize, ddl).dropDuplicates(["place"]).orderBy("place").limit(n).toLocalIterator()
-    return first_of_copies([(r[0], np.array(r[1], dtype=np.uint32), r[2]) for r in rows])
+    return first_of_copies([(r[0], np.frombuffer(bytes(r[1]), np.uint32), np.frombuffer(bytes(r[2]), np.uint32).tolist()) for r in rows])
 
 
 def fit(documents: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 12_000, prior: float | None = None, **params) -> Model | None:
