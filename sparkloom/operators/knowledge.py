@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KNOWLEDGE
-from . import bm25, fusion, vectors
+from ..session import cut
+from . import bm25, fusion, incremental, vectors
 
 # What a record's type and source may be, and the type of a domain.
 TYPES = ("repo_retrieval", "coding_modification")
@@ -35,13 +36,55 @@ def embed_text():
     return F.concat_ws(" ", "title", "content")
 
 
+VECTORS = "id string, vector array<float>"
+
+
 class KnowledgeBase:
-    """Records held as a DataFrame; every change gives a new one in `records`."""
+    """Records and their vectors; a record is embedded once, when it is added.
+
+    With a store, a folder, every change is a new version of both tables under the writers' lock, and others see it when
+    they open the folder. Without one they are DataFrames of this object, cut after every change."""
 
-    def __init__(self, spark: SparkSession, records: DataFrame | None = None, provider=None, types=TYPES):
+    def __init__(self, spark: SparkSession, records: DataFrame | None = None, provider=None, types=TYPES, store: str | None = None):
         self.spark, self.types = spark, types
-        self.records = records if records is not None else spark.createDataFrame([], KNOWLEDGE)
         self.provider = provider or vectors.HashingProvider()
+        self.store = incremental.Snapshots(spark, store) if store else None
+        self._vectors: DataFrame | None = None
+        if self.store:
+            self.reload()
+        else:
+            self.records = records if records is not None else spark.createDataFrame([], KNOWLEDGE)
+        if self.store and records is not None:
+            self.add_records(records)
+
+    def reload(self) -> None:
+        """The store's current version."""
+        self.records, self._vectors = self.store.read("records", KNOWLEDGE), self.store.read("vectors", VECTORS)
+
+    @property
+    def vectors(self) -> DataFrame:
+        if self._vectors is None:
+            self._vectors = cut(self.embedded(self.records))
+        return self._vectors
+
+    def embedded(self, records: DataFrame) -> DataFrame:
+        return vectors.embed(records.select("id", embed_text().alias("text")), self.provider, "text").select("id", "vector")
+
+    def keep(self, change) -> None:
+        """Applies change(records, vectors) to the current tables and makes the result current."""
+        if not self.store:
+            self.records, self._vectors = map(cut, change(self.records, self.vectors))
+            return
+        with self.store.exclusive():
+            self.reload()
+            records, kept = change(self.records, self.vectors)
+            self.store.write({"records": records, "vectors": kept})
+        self.reload()
+
+    def add_records(self, records: DataFrame) -> None:
+        """Adds rows of KNOWLEDGE."""
+        fresh = cut(sanitise(records))
+        self.keep(lambda r, v: (r.unionByName(fresh), v.unionByName(self.embedded(fresh))))
 
     def add(self, title: str, content: str, type: str, now_millis: int, tags=(), related_files=(), parent_ids=(), source_agent: str = "repo_agent", task_id: str | None = None, confidence: float = 0.8) -> str:
         if type not in self.types:
@@ -50,11 +93,11 @@ class KnowledgeBase:
             raise ValueError(f"source_agent must be one of {', '.join(SOURCES)}")
         rid, stamp = record_id(now_millis), self.spark.range(1).select(F.timestamp_millis(F.lit(now_millis)).cast("string")).first()[0]
         row = (rid, title, content, type, list(tags), list(related_files), source_agent, task_id, float(confidence), 0, stamp, stamp, None, list(parent_ids))
-        self.records = self.records.unionByName(sanitise(self.spark.createDataFrame([row], KNOWLEDGE)))
+        self.add_records(self.spark.createDataFrame([row], KNOWLEDGE))
         return rid
 
     def delete(self, rid: str) -> None:
-        self.records = self.records.where(F.col("id") != rid)
+        self.keep(lambda r, v: (r.where(F.col("id") != rid), v.where(F.col("id") != rid)))
 
     def list(self, limit: int = 50, type: str | None = None, tag: str | None = None) -> DataFrame:
         """Filters first, so that no match is missed, then the newest `limit`."""
@@ -70,10 +113,9 @@ class KnowledgeBase:
         if not query.strip():
             return self.records.limit(0).withColumn("score", F.lit(0.0)).withColumn("dense_score", F.lit(0.0)).withColumn("sparse_score", F.lit(0.0))
         only = F.col("type").isin(types_of(domains)) if domains else None
-        inside = self.records if only is None else self.records.where(only)
+        inside = self.vectors if only is None else self.vectors.join(self.records.where(only).select("id"), "id", "left_semi")
         sparse = bm25.search(self.records, "id", query, 4 * limit, {"title": "title", "content": "content"}, only=only)
-        embedded = vectors.embed(inside.select("id", embed_text().alias("text")), self.provider, "text")
-        dense = vectors.knn(embedded, self.provider.embed([query])[0], 4 * limit).select("id", "score")
+        dense = vectors.knn(inside, self.provider.embed([query])[0], 4 * limit).select("id", "score")
         fused = fusion.rrf([fusion.ranked(dense, "dense", [F.desc("score"), "id"]), fusion.ranked(sparse, "sparse", [F.desc("score"), "id"])])
         best = fused.orderBy(F.desc("score"), "id").limit(limit)
         scores = best.join(dense.withColumnRenamed("score", "dense_score"), "id", "left").join(sparse.withColumnRenamed("score", "sparse_score"), "id", "left")

@@ -12,7 +12,7 @@ from ..operators import bm25, export, extract, fusion, graph, incremental, knowl
 from ..sources import files as sources
 from ..streaming import watch
 from . import api, fixtures
-from .catalogue import BM25, CALLS, DISTANCE, RESOLVE, SYMBOL, bm25_docs, calls_of, functions_of, name_sites, probe, query, symbol_of, table, vectors_of
+from .catalogue import BM25, CALLS, CODE_TOKENS, DISTANCE, RESOLVE, SYMBOL, bm25_docs, calls_of, functions_of, name_sites, probe, query, symbol_of, table, vectors_of
 
 WHITE_SQL = "'" + X.WHITE + "'"
 
@@ -630,22 +630,37 @@ def knowledge_added(spark, d):
     return base.records.select("title", "content", "type", F.lit(refused).alias("refused"))
 
 
-KNOWN = f"""WITH {RECORDS}, r AS (SELECT * FROM k WHERE type = 'repo_retrieval'), q AS (SELECT 7 / 1000.0 AS a, 1 / 100.0 AS b),
-ds AS (SELECT id, 1 / (1 + (a - (SELECT a FROM q)) * (a - (SELECT a FROM q)) + (b - (SELECT b FROM q)) * (b - (SELECT b FROM q))) AS score FROM (
+DENSE = f"""{RECORDS}, r AS (SELECT * FROM k WHERE type = 'repo_retrieval'), q AS (SELECT 7 / 1000.0 AS a, 1 / 100.0 AS b),
+dd AS (SELECT id, (a - (SELECT a FROM q)) * (a - (SELECT a FROM q)) + (b - (SELECT b FROM q)) * (b - (SELECT b FROM q)) AS distance FROM (
   SELECT id, CAST(CAST((length(role) + 1 + length(content)) / 1000.0 AS FLOAT) AS DOUBLE) AS a, CAST(CAST((length(role || content) - length(replace(role || content, 'e', ''))) / 100.0 AS FLOAT) AS DOUBLE) AS b FROM r)),
-dn AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM ds ORDER BY round(1 / score - 1, 9), id LIMIT 32)) SELECT id, CAST(rank AS INTEGER) AS rank FROM dn"""
+dn AS (SELECT id, row_number() OVER (ORDER BY 1 / (1 + distance) DESC, id) AS rank FROM (SELECT * FROM dd ORDER BY round(distance, 9), id LIMIT 32))"""
 
 
-@query(KNOWN)
+def stored_knowledge(spark, d) -> knowledge.KnowledgeBase:
+    """The records in a store of their own, with vectors made when they were added."""
+    base = knowledge.KnowledgeBase(spark, provider=CountingProvider(), store=fixtures.folder(spark, "knowledge"))
+    base.add_records(knowledge_records(spark, d))
+    return base
+
+
+@query(f"WITH {DENSE} SELECT id, CAST(rank AS INTEGER) AS rank FROM dn")
 def knowledge_dense_channel(spark, d):
-    """The dense side of the search: records of the domain's types, by the provider's vectors of title and content."""
-    p = CountingProvider()
-    inside = knowledge_records(spark, d).where(F.col("type").isin(knowledge.types_of(["repo"])))
-    e = vectors.embed(inside.select("id", knowledge.embed_text().alias("text")), p, "text")
-    dense = vectors.knn(e, p.embed(["the ink"])[0], 32).select("id", "score")
+    """The dense side of the search: records of the domain's types, by the stored vectors of title and content."""
+    base = stored_knowledge(spark, d)
+    inside = base.vectors.join(base.records.where(F.col("type").isin(knowledge.types_of(["repo"]))).select("id"), "id", "left_semi")
+    dense = vectors.knn(inside, base.provider.embed(["the ink"])[0], 32).select("id", "score")
     return fusion.ranked(dense, "dense", [F.desc("score"), "id"]).select("id", "rank")
 
 
+@query(f"""WITH {DENSE}, u AS (SELECT id, type, role AS t FROM k), f AS (SELECT id, type, 'title' AS f, {CODE_TOKENS.replace('text', 'role')} AS t FROM k UNION ALL SELECT id, type, 'content', {CODE_TOKENS.replace('text', 'content')} FROM k),
+st AS (SELECT f, CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS mean FROM f GROUP BY f), ps AS (SELECT f, id, type, len(t) AS dl, term, count(*) AS tf FROM (SELECT f, id, type, t, unnest(t) AS term FROM f) WHERE term IN ('the', 'ink') GROUP BY ALL),
+g AS (SELECT f, term, count(*) AS df FROM ps GROUP BY ALL), sc AS (SELECT id, type, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM ps JOIN g USING (f, term) JOIN st USING (f) GROUP BY ALL),
+sp AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM sc WHERE type = 'repo_retrieval' ORDER BY round(score, 9) DESC, id LIMIT 32))
+SELECT id, round(coalesce(1 / (60.0 + dn.rank), 0) + coalesce(1 / (60.0 + sp.rank), 0), 6) AS score FROM dn FULL JOIN sp USING (id) ORDER BY coalesce(1 / (60.0 + dn.rank), 0) + coalesce(1 / (60.0 + sp.rank), 0) DESC, id LIMIT 8""")
+def knowledge_search(spark, d):
+    return stored_knowledge(spark, d).search("the ink", 8, ["repo"]).select("id", F.round("score", 6).alias("score"))
+
+
 # Streaming
 
 

@@ -182,3 +182,54 @@ def test_index_from_scan_to_search(spark, tmp_path):
     assert api.projects(spark, f"file://{tmp_path}").count() == 1
     api.drop_index(spark, out)
     assert api.projects(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_a_stored_knowledge_base_embeds_once(spark, tmp_path):
+    from sparkloom.operators import knowledge, vectors
+
+    seen = tmp_path / "seen"
+
+    class Provider(vectors.HashingProvider):
+        def embed(self, texts):
+            with open(seen, "a", encoding="utf-8") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return super().embed(texts)
+
+    base = knowledge.KnowledgeBase(spark, provider=Provider(8), store=f"file://{tmp_path}/kb")
+    one = base.add("alpha", "first words", "repo_retrieval", 1000)
+    two = base.add("beta", "other words", "coding_modification", 2000)
+    again = knowledge.KnowledgeBase(spark, provider=Provider(8), store=f"file://{tmp_path}/kb")
+    assert {r["id"] for r in again.search("words", 5).collect()} == {one, two}
+    assert [r["id"] for r in again.search("words", 5, ["repo"]).collect()] == [one]
+    again.delete(one)
+    base.reload()
+    assert [r["id"] for r in base.records.collect()] == [r["id"] for r in base.vectors.collect()] == [two]
+    texts = seen.read_text().splitlines()
+    assert texts.count("alpha first words") == texts.count("beta other words") == 1
+
+
+def test_writers_take_turns(spark, tmp_path):
+    from sparkloom.operators import incremental
+
+    a, b = (incremental.Snapshots(spark, f"file://{tmp_path}/s") for _ in range(2))
+    with a.exclusive():
+        with pytest.raises(TimeoutError), b.exclusive(wait=0.3):
+            pass
+    with b.exclusive(wait=0.3):
+        b.write({"t": spark.range(3)})
+    with a.exclusive(), b.exclusive(wait=1, stale=-1):
+        pass
+    old = a.current()
+    a.write({"t": spark.range(4)})
+    assert a.prune(3600) == 0 and a.prune() == 1 and a.current() != old
+
+
+def test_knn_join_ties_and_blocks(spark):
+    from sparkloom.operators import vectors
+
+    v = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(90)], "id long, vector array<float>").repartition(7)
+    q = v.where("id < 9").withColumnRenamed("id", "query_id")
+    for size in (1 << 20, 40):
+        got = vectors.knn_join(q, v, 5, block_bytes=size).collect()
+        assert {(r["query_id"], r["rank"]): r["id"] for r in got} == {(i, k + 1): i % 3 + 3 * k for i in range(9) for k in range(5)}
+    assert vectors.knn_join(q.limit(0), v, 5).count() == 0
