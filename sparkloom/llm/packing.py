@@ -8,7 +8,8 @@ whole windows first and place what remains.
 
 When a partition ends, its partially filled windows are laid end to end and cut anew: whole
 windows come out, and the rest is split into sequences whose lengths are falling powers of two.
-Those need no padding, so a partition adds none.
+Those need no padding, so a partition adds none. What the rule fills exactly comes out by the rule; the rest waits
+for the end, about 6 MB of ids at most, so its share falls with the size of the partition (README).
 
 Edge cases: null or empty texts are a document of one token, the end id; repeated rows are packed
 each by itself; null ids are kept; an empty table gives no rows; other columns are ignored.
@@ -235,6 +236,7 @@ def default_tokenizer() -> str:
 
 
 def op9_packing(spark, sf_dir):
+    """PIECES of every document by the public 49k word BPE; nulls, empty, long and repeated texts as stated above."""
     from .common import table
 
     return pack(table(spark, sf_dir, "documents"), default_tokenizer())
