@@ -141,14 +141,14 @@ def peel(calls: DataFrame, nodes: DataFrame, most_levels: int = 10_000) -> tuple
     """Kahn's levels of nodes (id) by calls, and the nodes that remain because they lie on or behind a cycle.
 
     A node's level is the length of the longest path to it. One job per level; RuntimeError if most_levels do not end it."""
-    e = cut(edges(calls).select("src", "dst").distinct())
+    # partitioned by src once: the levels below ship the nodes that become ready, not the calls
+    e = cut(edges(calls).select("src", "dst").repartition("src").dropDuplicates(["src", "dst"]))
     needs = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("needs"))
     # every node with the calls to it that are still open; one table, written once a level, holds levels and counts
     state = cut(nodes.select("id").distinct().join(needs, "id", "left").select("id", F.coalesce("needs", F.lit(0)).alias("needs"), F.lit(None).cast("int").alias("level")))
     ready = F.col("level").isNull() & (F.col("needs") == 0)
     for level in range(most_levels + 1):
-        n_ready = state.where(ready).count()
-        if not n_ready:
+        if state.where(ready).isEmpty():
             break
         if level == most_levels:
             raise RuntimeError(f"the call graph has more than {most_levels} levels")

@@ -327,7 +327,7 @@ def layers(spark, d):
     for df, a, b in pairs:
         e = df.select(a.alias("caller_id"), b.alias("callee_id"))
         out = e if out is None else out.unionAll(e)
-    return out.distinct().withColumn("line_number", F.lit(0))
+    return out.withColumn("line_number", F.lit(0))
 
 
 LAYERS = """e AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem
