@@ -16,6 +16,7 @@ from .. import schemas
 from ..functions.detect import skip_compiled
 from ..functions.text import line_range
 from ..operators import bm25, extract, fusion, graph, incremental, resolve, skeleton, vectors
+from ..session import cut
 from ..sources import files as sources
 from ..streaming import watch
 
@@ -81,7 +82,7 @@ def update(index: Index, root: str | DataFrame) -> IndexStats:
     calls = resolve.build_calls(extract.call_sites(symbols), functions)
     chunks = extract.chunks_of(symbols, index.config.min_chunk_chars)
     embedded, added = vectors.embed_cached(chunks.select(F.col("snippet_id").alias("id"), "content"), index.cache, index.provider)
-    tables = {"files": files, "symbols": symbols, "hashes": hashes, "functions": functions, "classes": classes, "calls": calls, "chunks": chunks, "vectors": embedded.select("id", "vector"), "cache": index.cache.unionByName(added)}
+    tables = {"files": files, "symbols": symbols, "hashes": hashes, "functions": functions, "classes": classes, "calls": calls, "chunks": chunks, "vectors": incremental.compact(cut(embedded.select("id", "vector"))), "cache": index.cache.unionByName(added)}
     post = bm25.postings(chunks, "snippet_id", FIELDS, index.config.tokenizer)
     tables["postings"] = post.repartitionByRange("term").sortWithinPartitions("term")  # a term's rows lie in few row groups
     tables["field_stats"] = bm25.field_stats(chunks, "snippet_id", FIELDS, index.config.tokenizer)
@@ -176,6 +177,14 @@ def neighbour_snippets(index: Index, symbol: str, direction: str = "callers") ->
     return rows.join(text, "file_path").select("name", "file_path", "line_start", "line_end", line_range(F.col("content"), F.col("line_start"), F.col("line_end")).alias("code_snippet"))
 
 
+def warm(index: Index, n: int = 1000) -> DataFrame:
+    """name, file_path, line_start and text of the first n functions by file and line, cached for repeated look-ups."""
+    first = index.functions.orderBy("file_path", "line_start", "id").limit(n).select("name", "file_path", "line_start", "line_end")
+    text = index.files.select(F.col("path").alias("file_path"), "content")
+    snippets = first.join(text, "file_path").select("name", "file_path", "line_start", line_range(F.col("content"), F.col("line_start"), F.col("line_end")).alias("code_snippet"))
+    return snippets.cache()
+
+
 def search_entities(index: Index, name: str) -> DataFrame:
     """Functions and classes of a name, with kind."""
     columns = ["id", "name", "file_path", "line_start", "line_end", "language"]
@@ -197,7 +206,7 @@ def watch_index(spark: SparkSession, root: str, out: str, events: str, checkpoin
 
 
 def projects(spark: SparkSession, home: str) -> DataFrame:
-    """project, index_dir and version of every index in the folders of home."""
+    """project, index_dir, version and size_bytes of every index in the folders of home."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(home)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -205,8 +214,9 @@ def projects(spark: SparkSession, home: str) -> DataFrame:
     for f in fs.listStatus(base) if fs.exists(base) else []:
         store = incremental.Snapshots(spark, f.getPath().toString())
         if f.isDirectory() and (v := store.current()) is not None:
-            rows.append((f.getPath().getName(), store.root, v))
-    return spark.createDataFrame(rows, "project string, index_dir string, version string")
+            size = fs.getContentSummary(store._path(f"{store.root}/v-{v}")).getLength()
+            rows.append((f.getPath().getName(), store.root, v, size))
+    return spark.createDataFrame(rows, "project string, index_dir string, version string, size_bytes long")
 
 
 def drop_index(spark: SparkSession, out: str) -> None:

@@ -294,6 +294,22 @@ def index_vectors(spark, d):
     return n.withColumn("n_cached", F.lit(index.cache.count()).cast("int"))
 
 
+@query(values("name, code_snippet", [("pay", "    def pay(self, n):\n        return f(n)"), ("test_pay", "def test_pay():\n    a = Account()\n    a.pay(3)"), ("good", "def good():\n    return one(1)")]))
+def index_warmed(spark, d):
+    """The first three functions by file and line."""
+    return api.warm(fixtures.index_of(spark), 3).select("name", "code_snippet")
+
+
+@query(values("query, symbol_name, file_path, source", [("return scale size twice", "twice", "j/Box.java", "Fused"), ("items push check", "push", "src/stack.rs", "Fused")]))
+def index_search(spark, d):
+    """The best hit of two queries, found by both channels."""
+    index, rows = fixtures.index_of(spark), []
+    for q in ("return scale size twice", "items push check"):
+        r = api.search(index, q, 1).first()
+        rows.append((q, r["symbol_name"], r["file_path"], r["source"]))
+    return spark.createDataFrame(rows, "query string, symbol_name string, file_path string, source string")
+
+
 @query(values("project, indexed", [("one", True), ("two", True)]))
 def project_list(spark, d):
     home = fixtures.folder(spark, "projects")
@@ -301,7 +317,7 @@ def project_list(spark, d):
     for name in ("one", "two", "gone"):
         incremental.Snapshots(spark, f"{home}/{name}").write({"hashes": one})
     api.drop_index(spark, f"{home}/gone")
-    return api.projects(spark, home).select("project", F.col("version").isNotNull().alias("indexed"))
+    return api.projects(spark, home).select("project", (F.col("version").isNotNull() & (F.col("size_bytes") > 0)).alias("indexed"))
 
 
 # Sources
