@@ -22,9 +22,9 @@ pages. Elements nested deeper than DEPTH count as parts of the one at that depth
 
 Independently, elements that state what they are are cut: nav, footer, form ..., and those with a class, id
 or role all of whose words are in CUT_WORDS or PLAIN_WORDS, one at least in the former (ad, sidebar-left,
-cookie-notice; not social-science). Such a name does not cut an element that holds the marked main part, a first
-heading or, on pages with neither, over half of the text, unless it names comments or adverts. Text beside a
-marked article or main part is judged as all other text where the host has `min_pages` pages, and left out
+cookie-notice; not social-science). Such a name does not cut an element that holds the marked main part, one
+within it that holds a first heading, or, on pages without such a part, one that holds over half of the text; names of
+comments and adverts cut all the same. Text beside a marked article or main part is judged as all other text where the host has `min_pages` pages, and left out
 where it has fewer.
 
 Statistics are summed by (host, path, block) with a combine before the shuffle, and hosts meet them dealt
@@ -117,13 +117,13 @@ DEPTH = 64
 class Node:
     """An open element: its path, whether it is cut, marked as main part, or named as a part around the article.
 
-    `named` is the nearest such element, itself included; `holds` says whether it has the main part or first heading."""
+    `named` is the nearest such element, itself included; `holds` says whether it has the main part, `heading` a first heading."""
 
-    __slots__ = ("cut", "depth", "holds", "inline", "kids", "main", "named", "path", "size", "tag", "up")
+    __slots__ = ("cut", "depth", "heading", "holds", "inline", "kids", "main", "named", "path", "size", "tag", "up")
 
     def __init__(self, tag, path, depth, cut, main, inline, up=None, named=False):
         self.tag, self.path, self.depth, self.cut, self.main, self.inline, self.up = tag, path, depth, cut, main, inline, up
-        self.kids, self.holds, self.size = [], False, 0
+        self.kids, self.holds, self.heading, self.size = [], False, False, 0
         self.named = self if named else up.named if up else None
 
 
@@ -135,7 +135,7 @@ class Page:
         self.shapes: list[tuple[str, str]] = []
         self.found: list[tuple[Node, str]] = []
         self.parts: list[Node] = []
-        self.has_main = self.has_heading = False
+        self.has_main = False
         self.stack = [Node("", "", 0, False, False, False)]
         self.buffer: list[str] = []
         self.key = None
@@ -168,12 +168,11 @@ class Page:
     def settle(self) -> None:
         """Drops what lies in named parts, and keeps those that hold the article after all."""
         total = sum(len(text) for _, text in self.found)
-        marked = self.has_main or self.has_heading
 
         def gone(node):
             part = node.named
             while part:
-                if not (part.holds if marked else 2 * part.size > total):
+                if not (part.holds or (part.main and part.heading) or (not self.has_main and 2 * part.size > total)):
                     return True
                 part = part.up.named
             return False
@@ -251,10 +250,10 @@ class Page:
         main = (up.main or marks) and not cut
         is_part = main and not up.main
         if is_part or (tag == "h1" and not cut):
-            self.has_main, self.has_heading = self.has_main or is_part, self.has_heading or tag == "h1"
+            self.has_main = self.has_main or is_part
             part = up.named
             while part:
-                part.holds = True
+                part.holds, part.heading = part.holds or is_part, part.heading or tag == "h1"
                 part = part.up.named
         if not inline:
             up.kids.append(tag + names)

@@ -50,6 +50,10 @@ MARKED = "<article><h1>T</h1><p>text</p></article>"
         ('<section id="comments"><article>nice</article></section><article>a</article>', ["a"]),
         ('<article><header class="entry-header"><h1>T</h1></header><p>text</p></article>', ["T", "text"]),
         ('<article><header><h1>T</h1></header><p>text</p></article>', ["T", "text"]),
+        ('<article><div class="header"><h1>T</h1></div><p>text</p><div class="social">no</div></article>', ["T", "text"]),
+        ('<div class="banner"><h1>Site</h1></div><article>a</article>', ["a"]),
+        ('<div class="masthead"><h1>Site</h1></div><div>longer text without a mark</div>', ["longer text without a mark"]),
+        ('<p class="a" class="nav" data-x="' + "class=nav " * 3000 + '">a</p>', ["a"]),
         ("<div role='main'>a</div><p>b</p>", ["a", "b"]),
         ('<div data-role="main">a</div><p>b</p>', ["a", "b"]),
         ("<!--><p>a</p><!---><p>b</p><!-- x --!><p>c</p>", ["a", "b", "c"]),
