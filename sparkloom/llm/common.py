@@ -87,7 +87,7 @@ def scan(df: DataFrame, id_column: str, *columns: str) -> DataFrame:
     The bound is a session setting that Spark reads when the result is computed, so it stays set; a value
     that differs from Spark's default is the user's own and is left alone."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key) in ("67108864b", "64MB", "64m"):
+    if conf.get(key, "64m") in ("67108864b", "64MB", "64m"):
         conf.set(key, BATCH_BYTES)
     return df.select(F.col(id_column).cast("long").alias(id_column), *columns)
 
