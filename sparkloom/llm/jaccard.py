@@ -432,11 +432,11 @@ ROOT_SALTS = 16
 SALT_ROWS = 256
 
 
-def to_pivots(now: DataFrame, pivots: DataFrame) -> DataFrame:
-    """now joined to its signatures' pivots; the rows of a frequent signature are dealt over salts."""
+def to_pivots(now: DataFrame, pivots: DataFrame, by: str = "a") -> DataFrame:
+    """now (sig, m, ...) joined to rows of its signatures (sig, m, ...); the rows of a frequent signature are dealt over salts."""
     salts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
     spread = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("m")
-    return now.withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int")).join(spread, ["sig", "salt"])
+    return now.withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).join(spread, ["sig", "salt"]).drop("salt")
 
 
 LINKS = "a long, b long"
@@ -529,8 +529,8 @@ def linked_sets(sets: DataFrame, percent: int, rounds: int, few: int = 4096) ->
     before = None
     for k in range(rounds + 1):
         now = spread.withColumn("comp", F.col("set_id")) if label is None else spread.join(label, "set_id", "left").withColumn("comp", F.coalesce("root", "set_id")).drop("root")
-        per = now.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
-        now = materialise(now.join(per, "sig"), "jaccard-open")
+        per = now.groupBy("sig").agg(F.max("m").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig", "m")
+        now = materialise(to_pivots(now, per, "set_id"), "jaccard-open")
         is_open = now.count()
         if not is_open:
             break
