@@ -271,6 +271,64 @@ def test_scores_against_brute_force(spark):
     assert len(tail) > 20 and len({k for w, (c, k) in tail.items() if c >= 3}) > 1
 
 
+def test_words_of_arrays_are_those_of_texts():
+    """Blanks of ASCII alone split words; other white space and control characters are parts of them."""
+    import pyarrow as pa
+
+    texts = [None, "", " ", "A", " a\tB\n\x0bc\x0c\rd ", "x\x1cy\x1fz\x00", "É\xa0é\u2003\x85 Ä", "  two  Words", "İ ẞ K", "\r\n"]
+    for part in (texts, texts[3:5], texts[5:7], texts[:1], []):
+        got = brown.split(pa.array([None, *part, "rest of it"], pa.string())[1 : 1 + len(part)]).to_pylist()
+        assert [[w.encode() for w in x or []] for x in got] == [brown.words_of(t) for t in part]
+
+
+def test_scores_do_not_depend_on_batches(spark, monkeypatch):
+    """Many blocks, buckets, pieces and Arrow batches give what few do."""
+    own = [(i, f"unseen Word{i % 7} the " * 30, "en") for i in range(1000, 1300) if zlib.crc32(str(i).encode()) % 10 == 0]  # frequent in held-out texts only
+    df, params = docs(spark, [(i + 100, t, lang) for i, t, lang in made(150)] + HARD + own), {"classes": 6, "head_units": 15, "pools": 7, "head_words": 40}
+    columns = lambda: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown.class_bigram_scores(df, **params).collect())
+    want = columns()
+    monkeypatch.setattr(brown, "BUCKET", 200)
+    monkeypatch.setattr(brown.word_counts, "__defaults__", (100,))
+    monkeypatch.setattr(brown.pair_sums, "__defaults__", (50,))
+    monkeypatch.setattr(brown.tail_contexts, "__defaults__", (100,))
+    monkeypatch.setattr(brown.tail_classes, "__defaults__", (100,))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert columns() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sums_of_long_runs_do_not_drift():
+    sizes = np.array([0, 2, 0, 3_000_000, 1, 0])
+    got = brown.sums_of_runs(np.concatenate((np.full(2, 0.5), np.full(3_000_000, 0.1), [7.0])), sizes)
+    assert got == pytest.approx([0, 1, 0, 300_000, 7, 0], rel=1e-14)
+    assert brown.sums_of_runs(np.zeros(0), np.zeros(2, np.int64)).tolist() == [0, 0]
+
+
+def test_tasks_send_arrays_not_a_row_for_each_sum(spark):
+    """Of all shuffles only that of the word counts may have a row for each word and task; op2 paid most for these rows."""
+    rng = np.random.default_rng(4)
+    vocabulary = ["w" + np.base_repr(i, 36) for i in range(3000)]
+    texts = [" ".join(vocabulary[int(3000 * x**2)] for x in rng.random(100)) for _ in range(400)]
+    df = docs(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(4).cache()
+    df.count()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in store_stages(spark)}
+    before = stages()
+    assert brown.class_bigram_scores(df, classes=6, head_units=50, pools=20, head_words=500).count() == 400
+    sent = [n for k, n in stages().items() if k not in before]
+    words = 4 * len(vocabulary)
+    assert 0 < max(sent) <= words and sum(sent) - max(sent) < 0.5 * words, sorted(sent)
+
+
+def store_stages(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+    found = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_words_move_to_the_class_of_greatest_gain():
     """Counts of a word moved between classes: the first-order gain picks the class that the exact likelihood does."""
     rng = np.random.default_rng(2)
