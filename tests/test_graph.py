@@ -129,3 +129,41 @@ def test_too_many_levels_are_no_cycle(spark):
     with pytest.raises(RuntimeError, match="levels"):
         graph.peel(*tables(spark, TOPOLOGIES["linear"]), most_levels=3)
     assert graph.peel(*tables(spark, TOPOLOGIES["linear"]), most_levels=4)[1].isEmpty()
+
+
+def least_of_component(pairs, names):
+    reach = {v: set(depths(pairs, v, 999)) for v in names}
+    return {v: min(w for w in reach[v] if v in reach[w]) for v in names}
+
+
+def jobs_of(spark, f):
+    """f's result and the number of checkpoints it made."""
+    made, cut = [], graph.cut
+    graph.cut = lambda df: made.append(1) or cut(df)
+    try:
+        return f(), len(made)
+    finally:
+        graph.cut = cut
+
+
+def test_components_of_long_paths_take_few_rounds(spark):
+    # a way of 120 calls into a cycle of 40, and a loop of 3 nodes that calls nothing else
+    pairs = [(i, i + 1) for i in range(1, 160)] + [(160, 121)] + [(200, 201), (201, 202), (202, 200)]
+    names = [*range(1, 161), 200, 201, 202]
+    c = spark.createDataFrame([(a, b, 1) for a, b in pairs], "caller_id long, callee_id long, line_number int")
+    f = spark.createDataFrame([(x,) for x in names], "id long")
+    got, n = jobs_of(spark, lambda: dict(graph.strong_components(c, f, 0).collect()))
+    assert got == {x: 121 if 121 <= x <= 160 else 200 if x >= 200 else x for x in names}
+    assert n < 30
+
+
+def test_components_of_dense_graphs_by_contraction(spark):
+    rng = random.Random(7)
+    names = list(range(60))
+    pairs = {(a, b) for a, b in ((rng.randrange(20), rng.randrange(20)) for _ in range(300)) if a != b}
+    pairs |= {(20 + a, 20 + b) for a, b in pairs} | {(3, 25), (7, 50), (50, 51), (51, 52), (52, 50), (52, 53), (59, 0)}
+    c = spark.createDataFrame([(a, b, 1) for a, b in sorted(pairs)], "caller_id long, callee_id long, line_number int")
+    f = spark.createDataFrame([(x,) for x in names], "id long")
+    assert graph.thinned(graph.edges(c).select("src", "dst")).count() < len(pairs) / 2
+    for most in (0, 20):
+        assert dict(graph.strong_components(c, f, most).collect()) == least_of_component(pairs, names)
