@@ -167,3 +167,18 @@ def test_components_of_dense_graphs_by_contraction(spark):
     assert graph.thinned(graph.edges(c).select("src", "dst")).count() < len(pairs) / 2
     for most in (0, 20):
         assert dict(graph.strong_components(c, f, most).collect()) == least_of_component(pairs, names)
+
+
+def test_levels_write_only_what_has_none(spark):
+    c, f = tables(spark, [(a, b) for a, b in zip("ABCDEF", "BCDEFG", strict=True)], "ABCDEFGH")
+    rows, cut = [], graph.cut
+    graph.cut = lambda df: rows.append(cut(df)) or rows[-1]
+    try:
+        levels, left = graph.peel(c, f, tables=2)
+        ends, _ = graph.peel(c)
+    finally:
+        graph.cut = cut
+    want = {x: i for i, x in enumerate("ABCDEFG")}
+    assert dict(levels.collect()) == want | {"H": 0} and left.isEmpty() and dict(ends.collect()) == want
+    states = [t.count() for t in rows if t.columns == ["id", "needs"]]
+    assert states == [8, 6, 5, 4, 3, 2, 1, 0, 7, 6, 5, 4, 3, 2, 1, 0]
