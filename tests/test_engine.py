@@ -233,3 +233,14 @@ def test_knn_join_ties_and_blocks(spark):
         got = vectors.knn_join(q, v, 5, block_bytes=size).collect()
         assert {(r["query_id"], r["rank"]): r["id"] for r in got} == {(i, k + 1): i % 3 + 3 * k for i in range(9) for k in range(5)}
     assert vectors.knn_join(q.limit(0), v, 5).count() == 0
+
+
+def test_knn_join_orders_ties_of_rounded_distances_by_id(spark):
+    from sparkloom.operators import vectors
+
+    # 1 is farther than 2 by 1e-12, which the SQL rounds away; many more rows than one block of distances
+    rows = [(1, [1.0, 1e-6]), (2, [1.0, 0.0])] + [(i, [2.0 + i % 5, 3.0]) for i in range(3, 3000)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, vector array<double>")
+    got = vectors.knn_join(q, v, 4).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [1, 2, 5, 10]
