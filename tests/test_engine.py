@@ -244,3 +244,38 @@ def test_knn_join_orders_ties_of_rounded_distances_by_id(spark):
     q = spark.createDataFrame([(0, [0.0, 0.0])], "query_id long, vector array<double>")
     got = vectors.knn_join(q, v, 4).orderBy("rank").collect()
     assert [r["id"] for r in got] == [1, 2, 5, 10]
+
+
+def test_provider_hashes_each_part_once(monkeypatch):
+    import hashlib
+
+    from sparkloom.operators import vectors
+
+    def plain(text, dims):
+        low, v = text.lower(), [0.0] * dims
+        for x in [*low.split(), *(low[i : i + 3] for i in range(len(low) - 2))]:
+            h = int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+            v[h % dims] += 1.0 if h >> 63 else -1.0
+        norm = sum(x * x for x in v) ** 0.5 or 1.0
+        return [x / norm for x in v]
+
+    texts = ["", "a", "Ab", "the cat the cat", "İß 你好世界\U0001f600", "\ud800 x", "ab" * 500]
+    want = [plain(t, 16) for t in texts]
+    assert vectors.HashingProvider(16).embed(texts) == want
+    assert vectors.HashingProvider(16, most_known=2).embed(texts) == want
+    made, real = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda *a, **k: made.append(1) or real(*a, **k))
+    vectors.HashingProvider(16).embed([texts[-1]] * 3)
+    assert len(made) == 3
+
+
+def test_embed_in_slices(spark):
+    from sparkloom.operators import vectors
+
+    df = spark.createDataFrame([(i, None if i == 3 else f"text {i}", [0.5]) for i in range(100)], "id long, content string, vector array<float>").coalesce(1)
+    p = vectors.HashingProvider(8)
+    got = vectors.embed(df, p, "content", batch=7, batch_bytes=1)
+    assert got.columns == ["id", "content", "vector"]
+    for r in got.collect():
+        assert r["vector"] == pytest.approx(p.embed([r["content"] or ""])[0], abs=1e-6)
+    assert vectors.embed(df.where("id < 0"), p, "content").count() == 0
