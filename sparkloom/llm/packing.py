@@ -22,9 +22,11 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,29 +34,40 @@ from .common import arrow_batch, scan, trim_memory
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-#: Per worker process: tokenizer definition -> (tokenizer, chunk -> ids).
-_LOADED: dict[int, tuple] = {}
-_CACHE_CHUNKS = 400_000
-#: So many of the first ones stay when it is full: frequent chunks come early.
-_KEPT_CHUNKS = 150_000
-_CHARS_AT_ONCE = 1_000_000
+#: Per worker process: hash of a tokenizer's definition -> the tokenizer, with its cache.
+_LOADED: dict[int, ChunkTokenizer] = {}
+_CACHE_WORDS = 800_000
+#: So many of the first ones stay when it is full: frequent words come early.
+_KEPT_WORDS = 400_000
+_WORDS_AT_ONCE = 20_000
+_BYTES_AT_ONCE = 8 << 20
+
+
+def _strings(cuts: np.ndarray, data) -> pa.LargeStringArray:
+    """The strings between neighbouring cuts of UTF-8 bytes, which are not copied."""
+    return pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+
+
+def _cuts(a: pa.Array) -> np.ndarray:
+    """The offsets of an array of large strings or binaries."""
+    return np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset : a.offset + len(a) + 1]
 
 
 class ChunkTokenizer:
-    """encode(text) of a tokenizer that ends every word with `</w>` and whose pre-tokens span no blank or newline.
+    """encode(texts) of a tokenizer that ends every word with `</w>` and whose pre-tokens span no blank or newline.
 
-    Blank-separated chunks are then encoded independently of their neighbours, so ids are cached
-    by chunk. A chunk of Latin letters with ASCII marks behind it is further split into both,
-    as the tokenizer itself does after lower-casing, and new letter runs are encoded in one text.
-    The caches hold a fixed number of entries."""
+    Blank-separated chunks are then encoded independently of their neighbours, so Arrow reduces a slice
+    of texts to its distinct chunks. A chunk of Latin letters with ASCII marks behind it is further split
+    into both, as the tokenizer itself does after lower-casing. Python sees distinct words only, and
+    new letter runs are encoded many in one text. The cache holds a fixed number of words, or those of one slice."""
 
     MARKS = ".,;:!?%$&*#|"
-    LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+    LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.stems = Tokenizer.from_str(definition), {}, {"": b""}
+        self.tokenizer, self.cache = Tokenizer.from_str(definition), {"": b""}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -67,63 +80,71 @@ class ChunkTokenizer:
             _LOADED[key] = ChunkTokenizer(definition)
         return _LOADED[key]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of unseen chunks into the cache."""
-        whole, parts, cache, known = [], [], self.cache, self.stems
-        stems: dict[str, bytes] = {}
-        for c in chunks:
-            letters = c.rstrip(self.MARKS)
-            if letters.isalpha() and (letters.isascii() or self.LATIN(letters)):
-                stem, marks = letters.lower(), c[len(letters) :]
-                if (ids := known.get(stem)) is not None and (tail := known.get(marks)) is not None:
-                    cache[c] = ids + tail
-                else:
-                    parts.append((c, stem, marks))
-                    stems[stem] = stems[marks] = b""
-            else:
-                whole.append(c)
-        stems.pop("", None)
-        if stems:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def learn(self, words: list[str]) -> None:
+        """Put the ids of unseen words, Latin letters in lower case or anything else, into the cache."""
+        stems, others, latin = [], [], re.compile(self.LATIN).match
+        for w in words:
+            (stems if latin(w) else others).append(w)
+        for at in range(0, len(stems), _WORDS_AT_ONCE):
+            some = stems[at : at + _WORDS_AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(cuts) != len(stems):
+            if len(cuts) != len(some):
                 raise ValueError("the tokenizer does not end every word with </w>")
             raw = ids.tobytes()
-            known.update(zip(stems, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
-        for c, stem, marks in parts:
-            cache[c] = known[stem] + known[marks]
-        for c, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+            self.cache.update(zip(some, (raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+        for at in range(0, len(others), _WORDS_AT_ONCE):
+            some = others[at : at + _WORDS_AT_ONCE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.cache.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if missing:
+            if len(self.cache) + len(missing) > _CACHE_WORDS:
+                self.cache = dict(islice(self.cache.items(), _KEPT_WORDS))
+            self.learn(missing)
+            found = [self.cache[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found
+
+    def look_up(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of distinct chunks, which may have their blank behind them."""
+        n, bare = len(chunks), pc.ascii_rtrim(chunks, " ")
+        letters = pc.ascii_rtrim(bare, self.MARKS)
+        latin = pc.match_substring_regex(letters, self.LATIN)
+        cuts = np.empty(2 * n + 1, dtype=np.int64)
+        cuts[::2] = _cuts(bare)
+        cuts[1::2] = cuts[:-1:2] + np.diff(_cuts(letters))
+        marks = _strings(cuts, bare.buffers()[2] or b"").take(pa.array(np.arange(1, 2 * n, 2)))
+        stems = pc.if_else(latin, pc.utf8_lower(letters), bare)
+        marks = pc.if_else(latin, marks, pa.scalar("", pa.large_string()))
+        words = pa.concat_arrays([stems, marks]).dictionary_encode()
+        ids = pa.array(self.ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        return pc.binary_join_element_wise(ids[:n], ids[n:], pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column; null texts have none."""
+        if not len(texts):
+            return
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends, data = _cuts(texts), np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
         at = 0
         while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and size < _CHARS_AT_ONCE:
-                text = texts[at] or ""
-                some.append(text.replace("\n", " ").split(" ") if text else [])
-                at, size = at + 1, size + len(text)
-            chunks = list(chain.from_iterable(some))
-            found = list(map(self.cache.get, chunks))
-            places, i = [], -1
-            try:
-                while True:
-                    places.append(i := found.index(None, i + 1))
-            except ValueError:
-                pass
-            if places:
-                missing = {chunks[i] for i in places}
-                if len(self.cache) + len(missing) > _CACHE_CHUNKS:
-                    self.cache = dict(islice(self.cache.items(), _KEPT_CHUNKS))
-                if len(self.stems) > _CACHE_CHUNKS:
-                    self.stems = dict(islice(self.stems.items(), _KEPT_CHUNKS))
-                self.learn(missing)
-                for i in places:
-                    found[i] = self.cache[chunks[i]]
-            i = 0
-            for own in some:
-                yield np.frombuffer(b"".join(found[i : i + len(own)]), dtype="<u4")
-                i += len(own)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _BYTES_AT_ONCE, side="right")) - 1)
+            own, some = ends[at : to + 1] - ends[at], data[ends[at] : ends[to]].copy()
+            some[some == ord("\n")] = ord(" ")
+            cut = np.zeros(len(some) + 1, dtype=bool)
+            np.equal(some, ord(" "), out=cut[1:])
+            cut[own] = True
+            cuts = np.flatnonzero(cut)
+            chunks = _strings(cuts, some).dictionary_encode()
+            ids = self.look_up(chunks.dictionary).take(chunks.indices)
+            bounds = (_cuts(ids)[np.searchsorted(cuts, own)] // 4).tolist()
+            flat = np.frombuffer(ids.buffers()[2] or b"", dtype="<u4", count=bounds[-1])
+            yield from (flat[i:j] for i, j in zip(bounds, bounds[1:], strict=False))
+            at = to
 
 
 class Packer:
@@ -218,7 +239,7 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 2, size: int =
         packer = Packer(size, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], dtype="<u4")
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1)), strict=True):
                 packer.add(doc_id, np.concatenate((ids, end)))
             yield arrow_batch(PIECES, packer.rows)
             packer.rows = []

@@ -201,8 +201,8 @@ def bpe_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = ChunkTokenizer.load(definition.value)
         for b in batches:
-            source, lang, texts = (c.to_pylist() for c in b.columns[1:])
-            yield arrow_batch(ddl, [(s, k, len(ids)) for s, k, ids in zip(source, lang, tok.encode(texts), strict=True)])
+            source, lang = b.column(1).to_pylist(), b.column(2).to_pylist()
+            yield arrow_batch(ddl, [(s, k, len(ids)) for s, k, ids in zip(source, lang, tok.encode(b.column(3)), strict=True)])
         trim_memory()
 
     return scan(docs, "doc_id", "source", "lang", "text").mapInArrow(run, ddl)

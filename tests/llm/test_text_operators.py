@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -340,3 +341,39 @@ def test_every_id_is_packed_once(spark):
             assert offset == at
             at += length
         assert at == 256 or at & (at - 1) == 0
+
+
+class Counted(dict):
+    looked_up = 0
+
+    def get(self, *key):
+        self.looked_up += 1
+        return super().get(*key)
+
+
+def test_python_sees_each_word_of_a_slice_once():
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        tok = packing.ChunkTokenizer(f.read())
+    tok.cache = Counted(tok.cache)
+    texts = [" ".join(["Word", "word,", "WORD.", "café", "CAFÉ!", "x1"] * 2000)] * 3
+    assert len({ids.tobytes() for ids in tok.encode(pa.array(texts))}) == 1
+    assert 0 < tok.cache.looked_up < 20
+
+
+PARTS = ["Word", "WORD", "word", "Élan", "é", "J\u030c", "j", "\u030c", "\u0301", "İ", "ΣΑΣ", "ς", "ß", "×", "÷", "µ", "語", "'s", "DON'T", "12", "_", "…", "😀", *packing.ChunkTokenizer.MARKS]
+PARTS += ["<|endoftext|>", "<|ENDOFTEXT|>", " ", " ", " ", "\n", "\r", "\t", "\x00", "\u00a0", "\u3000"]
+
+
+@given(st.lists(st.none() | st.lists(st.sampled_from(PARTS), max_size=12).map("".join), max_size=12), st.sampled_from([1, 40, 1 << 20]), st.sampled_from([3, 1000]), st.integers(0, 3))
+@settings(max_examples=300, deadline=None)
+def test_chunks_encode_as_their_text(texts, slice_bytes, words, skip):
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        tok = packing.ChunkTokenizer.load(f.read())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "_BYTES_AT_ONCE", slice_bytes)
+        m.setattr(packing, "_CACHE_WORDS", words)
+        m.setattr(packing, "_KEPT_WORDS", words // 2)
+        m.setattr(packing, "_WORDS_AT_ONCE", 2)
+        for kind in (pa.string(), pa.large_string()):
+            got = [ids.tolist() for ids in tok.encode(pa.array(texts, kind)[skip:])]
+            assert got == [tok.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[skip:]]
